@@ -1 +1 @@
-"""Filled below."""
+"""Column builders: no action is run here."""

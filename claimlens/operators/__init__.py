@@ -1 +1 @@
-"""Filled below."""
+"""DataFrame -> DataFrame operators."""

@@ -1,4 +1,362 @@
-"""The registered queries."""
+"""Registered queries and their SQL.
+
+The tables map onto the data model so that every operator has real input: a claim is an order, its arm
+l_returnflag, a mask l_linenumber (repeats reduced by min), its family o_custkey, its label the order's
+status and its pair the key with the last bit flipped. Doubles are rounded to 6 decimals on both
+sides (9 where six are a tie); gaps and scores are rounded to 9 before they are compared, since sums differ in the last bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimlens.functions import identity, text
+from claimlens.functions.stats import STATISTICS, close, softmax
+from claimlens.operators import evaluation, scoring, validation
+from claimlens.sources.records import evidence_for_arm
+
+MASK_ID = 99
+SEED = 7
+N_MASKS = 4
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, decimals: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; adding 0 makes -0.0 and 0.0 one."""
+    return df.withColumns({c: F.round(c, decimals) + 0.0 for c in columns})
+
+
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.pmod("label", F.size("embedding")).alias("target_id")
+    )
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_logits(_logits(spark, sf_dir))
+
+
+def softmax_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _logits(spark, sf_dir).select("vec_id", F.posexplode(softmax(F.col("logits"))).alias("token_id", "probability"))
+    return rounded(p, "probability", decimals=9)
+
+
+def marginal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_scored(spark, sf_dir), *STATISTICS)
+
+
+def reduce_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(spark, sf_dir).withColumn("request_id", F.floor(F.col("vec_id") / 5))
+    return rounded(scoring.reduce_positions(scored, ["request_id"]), *scoring.REDUCED)
+
+
+def statistics_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(spark, sf_dir).withColumn("request_id", F.floor(F.col("vec_id") / 5)).withColumn("position", F.col("vec_id") % 5)
+    listed = scoring.reduce_lists(scoring.statistics_as_lists(scored, ["request_id"]))
+    told = [F.array_join(c, ",").alias(c) for c in ("masked_positions", "target_ids", "top_ids", "top_alternative_ids")]
+    return rounded(listed.select("request_id", *told, "n_masked_pieces", "ce_mean", "swap_llr_mean"), "ce_mean", "swap_llr_mean")
+
+
+def _measures() -> dict[str, Column]:
+    quantity, price = F.min("l_quantity"), F.min("l_extendedprice")
+    return {
+        "ce_mean": price / 10000,
+        "entropy_mean": quantity / 10,
+        "collision_entropy_mean": quantity / 20,
+        "delta_mean": price / 10000 - quantity / 10,
+        "swap_llr_mean": F.min("l_tax") * 10 - F.min("l_discount") * 10,
+        "expected_drift_mean": quantity / 50,
+        "expected_dispersion_mean": F.min("l_discount") * 10,
+        "top_mismatch_rate": (quantity > 25).cast("double"),
+    }
+
+
+def _label(status: Column) -> Column:
+    return F.when(status == "F", F.lit("refuted")).when(status == "O", F.lit("supported")).otherwise("insufficient")
+
+
+def _mask_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(
+        *[m.alias(name) for name, m in _measures().items()]
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return masks.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderkey").alias("example_id"),
+        F.col("l_returnflag").alias("arm"),
+        F.col("l_linenumber").alias("mask_index"),
+        F.col("o_custkey").alias("family_id"),
+        F.lit("dev").alias("split"),
+        _label(F.col("o_orderstatus")).alias("label"),
+        F.col("o_orderkey").bitwiseXOR(F.lit(1)).alias("paired_example_id"),
+        *_measures(),
+    )
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose pair id is NULL where the partner has no claim in the arm."""
+    claims = evaluation.reduce_claims(_mask_rows(spark, sf_dir))
+    there = claims.select(F.col("example_id").alias("paired_example_id"), "arm", F.lit(True).alias("there"))
+    joined = claims.join(there, ["paired_example_id", "arm"], "left")
+    return joined.withColumn("paired_example_id", F.when(F.col("there"), F.col("paired_example_id"))).drop("there")
+
+
+def reduce_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = evaluation.reduce_claims(_mask_rows(spark, sf_dir))
+    return rounded(claims.drop("split", "paired_example_id"), *evaluation.SUMMARY, decimals=9)
+
+
+def claim_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").alias("example_id"),
+        F.col("l_returnflag").alias("arm"),
+        F.col("l_linenumber").alias("mask_index"),
+        F.col("l_suppkey").alias("family_id"),
+        F.col("l_linestatus").alias("split"),
+        F.lit("supported").alias("label"),
+        F.lit(None).cast("string").alias("paired_example_id"),
+        *[F.col("l_tax").alias(c) for c in evaluation.SUMMARY],
+    )
+    return evaluation.claim_guards(rows)
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.long_scores(_claims(spark, sf_dir)), "value", decimals=9)
+
+
+def claim_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.claim_auroc(_long(spark, sf_dir)), "auroc")
+
+
+def declared_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = evaluation.long_scores(_claims(spark, sf_dir))
+    return rounded(evaluation.declared_contrasts(scores, 9), "win_rate", "mean_gap")
+
+
+def family_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = evaluation.long_scores(_claims(spark, sf_dir))
+    return rounded(evaluation.family_gaps(scores, 9), "win_rate", "mean_gap")
+
+
+def arm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = evaluation.arm_metrics(_claims(spark, sf_dir), 9)
+    return rounded(metrics, "auroc", "contrast_win_rate", "contrast_mean_gap", "family_win_rate", "family_mean_gap")
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.label_counts(_claims(spark, sf_dir))
+
+
+def missing_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.missing_partners(evaluation.reduce_claims(_mask_rows(spark, sf_dir)))
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").withColumn("spans", text.word_spans(F.col("text")))
+    return items.withColumn("words", F.col("spans.text"))
+
+
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _benchmark(spark, sf_dir).select("item_id", F.posexplode("spans").alias("word_index", "s"))
+    return spans.select("item_id", "word_index", F.col("s.text").alias("word"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+
+
+def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(f"({text.WORD})"), F.lit(1))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("w")).select("doc_id", text.normalized(F.col("w")).alias("w"))
+    content = F.count_if((F.col("w") != "") & ~F.col("w").isin(*text.STOPWORDS))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("w") != "").alias("n_maskable"), content.alias("n_content"))
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = F.explode(F.sequence(F.lit(0), F.lit(N_MASKS - 1)))
+    items = _benchmark(spark, sf_dir).withColumn("eligible", text.eligible_words(F.col("words"))).withColumn("mask_index", masks)
+    digest = text.mask_digest(F.lit(SEED), F.col("item_id"), F.lit("prior"), F.col("mask_index"))
+    masked = items.withColumn("digest", digest).withColumn("mask_rate", text.mask_rate(F.col("digest")))
+    return masked.withColumn("chosen", text.masked_words(F.col("eligible"), F.col("digest")))
+
+
+def mask_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masks(spark, sf_dir).select("item_id", "mask_index", "mask_rate", F.array_join("chosen", ",").alias("word_indices"))
+
+
+def _offsets(n: Column) -> Column:
+    """Fixed pieces of four characters over a text of n."""
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda k: F.array(4 * k, F.least(4 * k + 4, n)))
+
+
+def word_piece_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _benchmark(spark, sf_dir).withColumn("pieces", text.word_pieces(F.col("spans"), _offsets(F.length("text"))))
+    aligned = items.select("item_id", F.posexplode("pieces").alias("word_index", "own"))
+    return aligned.select("item_id", "word_index", F.array_join("own", ",").alias("pieces"))
+
+
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are pieces of their own here, numbered from 100; masks choose among them."""
+    pieces = F.transform("words", lambda w, i: F.array(i))
+    tokens = F.transform("words", lambda w, i: F.length(w) + 100)
+    masked = _masks(spark, sf_dir).withColumn("token_ids", tokens)
+    return masked.withColumn("g", text.mask_geometry(F.col("token_ids"), pieces, F.col("chosen"), MASK_ID))
+
+
+def mask_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = [F.array_join(f"g.{c}", ",").alias(c) for c in ("piece_indices", "target_ids", "masked_input_ids")]
+    return _geometry(spark, sf_dir).select("item_id", "mask_index", *told)
+
+
+def _work_fields() -> dict[str, Column]:
+    named = {f: F.lit(f"{f}-v1") for f in identity.STRING_FIELDS}
+    return named | {
+        "scoring_protocol": F.lit(identity.ANALYTIC),
+        "arm": F.lit("prior"),
+        "mask_policy": F.lit(text.POLICY),
+        "input_ids": F.col("g.masked_input_ids"),
+        "attention_mask": F.transform("token_ids", lambda t: F.lit(1)),
+        "masked_positions": F.col("g.piece_indices"),
+        "target_ids": F.col("g.target_ids"),
+        "mask_rate": F.col("mask_rate"),
+        "temperature": F.lit(1.0),
+    }
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geometry(spark, sf_dir).select("item_id", "mask_index", identity.work_id(_work_fields()).alias("work_id"))
+
+
+def work_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _works(spark, sf_dir)
+
+
+def id_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = _works(spark, sf_dir).withColumn("partition_index", F.col("item_id") % 5)
+    plan = shards.groupBy("partition_index").agg(identity.ids_digest(F.collect_list("work_id"), False).alias("plan_hash"))
+    stats = identity.shard_statistics(shards, ["partition_index"]).drop("has_duplicates")
+    return stats.join(plan, "partition_index")
+
+
+def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("work_id"))
+    plan = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("work_id"))
+    return validation.plan_difference(results, plan)
+
+
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_id"))
+    valid = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("work_id"))
+    return validation.cache_misses(plan, valid)
+
+
+def overlapping_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), (F.col("l_suppkey") % 50).alias("partition_index"))
+    return validation.overlapping_shards(ids)
+
+
+def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records: some ids repeat, some pairs are missing, crossed or one-sided."""
+    key = F.col("o_orderkey")
+    claim = F.concat(F.lit("Order "), key.cast("string"))
+    pair = (F.when(key % 5 == 0, key).when(key % 7 == 0, key + 2_000_000).when(key % 11 == 0, key + 2).otherwise(key.bitwiseXOR(F.lit(1)))).cast("string")
+    span = F.struct(F.lit(0).alias("start"), (F.lit(7) + key % 6).cast("int").alias("end"))
+    contrast = F.when(key % 3 != 0, F.struct(pair.alias("paired_example_id"), span.alias("original_span"), span.alias("replacement_span")))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("line_number"),
+        key.cast("string").alias("example_id"),
+        (F.col("o_custkey") % 100).cast("string").alias("family_id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("test")).otherwise("dev").alias("split"),
+        claim.alias("claim"),
+        contrast.alias("contrast"),
+        "o_orderpriority",
+    )
+
+
+def cross_row_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validation.cross_row_violations(_order_records(spark, sf_dir))
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.sum("line_number").alias("lines"))
+
+
+def semantic_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("line_number")
+    evidence = F.struct(
+        (key % 2).cast("string").alias("evidence_id"),
+        F.lit("twelve chars").alias("text"),
+        F.when(key % 4 == 0, F.array().cast("array<struct<start:int,end:int>>"))
+        .otherwise(F.array(F.struct(F.lit(1).alias("start"), (key % 15).cast("int").alias("end"))))
+        .alias("rationale_spans"),
+    )
+    sets = F.when(key % 6 == 0, F.array().cast("array<struct<evidence_id:string,text:string,rationale_spans:array<struct<start:int,end:int>>>>"))
+    rate = (key % 10) / 10
+    status = F.when(key % 3 == 0, F.lit("recall_known")).when(key % 3 == 1, F.lit("recognition_known")).otherwise("weak")
+    audit = F.struct(
+        status.alias("status"),
+        (key % 4 < 2).alias("recognition_passed"),
+        (key % 5 == 0).alias("passed"),
+        rate.alias("recognition_top1_rate"),
+        F.when(key % 13 == 0, rate + 0.01).otherwise(rate).alias("forward_top1_rate"),
+    )
+    records = _order_records(spark, sf_dir).withColumns(
+        {
+            "atomic_facts": F.array(F.struct(F.struct(F.lit(0).alias("start"), (key % 12).cast("int").alias("end")).alias("claim_span"))),
+            "evidence_condition": F.when(key % 5 < 2, F.lit("none")).when(key % 5 == 2, F.lit("gold_supporting")).otherwise("retrieved"),
+            "evidence_sets": sets.when(key % 9 == 0, F.array(evidence, evidence)).otherwise(F.array(evidence)),
+            "annotations": F.struct(
+                F.array(F.lit("a"), (key % 4).cast("string"), F.lit("a")).alias("annotator_ids"),
+                F.when(key % 2 == 0, F.lit("verified")).otherwise("pending").alias("adjudication_status"),
+            ),
+            "knowledge_audit": F.when(key % 8 != 0, audit),
+        }
+    )
+    one = records.withColumn("annotations", F.when(key % 17 == 0, F.col("annotations").withField("annotator_ids", F.array(F.lit("a")))).otherwise(F.col("annotations")))
+    found = validation.semantic_violations(one)
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.sum("line_number").alias("lines"))
+
+
+def physical_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows of the scored embeddings, a fifth of them damaged in one of five ways."""
+    scored = _scored(spark, sf_dir).withColumn("request", F.floor(F.col("vec_id") / 5)).withColumn("position", F.col("vec_id") % 5)
+    rows = scoring.reduce_lists(scoring.statistics_as_lists(scored, ["request"])).withColumn("work_id", F.sha2(F.col("request").cast("string").cast("binary"), 256))
+    damage = F.col("request") % 25
+    damaged = rows.withColumns(
+        {
+            "work_id": F.when(damage == 1, F.upper("work_id")).otherwise(F.col("work_id")),
+            "masked_positions": F.when(damage == 2, F.reverse("masked_positions")).otherwise(F.col("masked_positions")),
+            "ce_mean": F.when(damage == 3, F.col("ce_mean") * 1.01).otherwise(F.col("ce_mean")),
+            "delta_by_piece": F.when(damage == 4, F.transform("delta_by_piece", lambda x: x + 1)).otherwise(F.col("delta_by_piece")),
+            "top_alternative_ids": F.when(damage == 5, F.col("target_ids")).otherwise(F.col("top_alternative_ids")),
+        }
+    )
+    return validation.coherence_violations(damaged).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def evidence_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    arms = turns.withColumn("arm", F.explode(F.array(F.lit("prior"), F.lit("supplied_evidence"))))
+    return arms.select("conv_id", "arm", F.sha2(evidence_for_arm(F.col("t.text"), F.col("arm")).cast("binary"), 256).alias("evidence_sha256"))
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("n_k"), F.sum("k").alias("sum_k"))
+
+
+def tolerance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("a"), (F.col("p_retailprice") * (1 + (F.col("p_partkey") % 7) * 3e-11)).alias("b"))
+    return part.groupBy(close(F.col("a"), F.col("b")).alias("agrees")).agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        softmax_probabilities, marginal_stats, reduce_positions, statistics_lists, reduce_claims, claim_guards,
+        claim_auroc, declared_contrasts, family_gaps, arm_metrics, label_counts, missing_partners, word_spans,
+        content_words, mask_plan, word_piece_alignment, mask_geometry, work_ids, id_digests, plan_diff,
+        cache_misses, overlapping_shards, cross_row_violations, semantic_violations, physical_coherence,
+        evidence_by_arm, json_records, tolerance_checks,
+    )
+}
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}

@@ -1 +1 @@
-"""Filled below."""
+"""Scans and sinks."""
