@@ -67,7 +67,7 @@ def offline_check(spark: SparkSession) -> list[str]:
     probe = evaluation.evaluation_document(aggregation_probe(spark))["arms"]["prior"]["scores"]["ce_mean"]
     _expect(probe["declared_contrasts"] == {"n_declared_contrasts": 1, "wins": 0, "win_rate": 0.0, "mean_gap": -1.5}, "pair metrics")
     _expect(probe["families"] == {"n_binary_families": 1, "wins": 1, "win_rate": 1.0, "mean_gap": 4.25}, "family metrics")
-    _expect(probe["claim_auroc"] == 0.5, "AUROC")
+    _expect(probe["claim_auroc"] == 0.75, "AUROC")
     passed.append("aggregation: masks, pairs and families are reduced apart")
 
     results = scored_fixture(spark)

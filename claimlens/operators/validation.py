@@ -131,7 +131,7 @@ def coherence_rules(kind: str = "cache") -> dict[str, Column]:
         whole = whole & good(lists[c], lambda x: x >= 0)
     reduced = F.lit(True)
     for name, source in REDUCED.items():
-        mean = F.aggregate(by[source], F.lit(0.0), lambda a, x: a + x) / n
+        mean = F.try_divide(F.aggregate(by[source], F.lit(0.0), lambda a, x: a + x), n)
         reduced = reduced & _finite(F.col(name)) & close(F.col(name), mean)
     unit = lambda x: (x >= 0) & (x <= 1)
     ranges = good(by["collision_probability"], lambda x: (x > 0) & (x <= 1)) & good(by["expected_drift"], unit)
