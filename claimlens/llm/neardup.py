@@ -47,8 +47,9 @@ HUB_ROUNDS = 6
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, text after text, and where each text's begin."""
-    words = Words(texts, lower=True)
-    hashes = words.per_word((xxhash.xxh3_64_intdigest(w.encode()) for w in words.distinct), np.uint64)
+    words = Words(texts)
+    # lower() of bytes changes A-Z alone
+    hashes = words.per_word((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words.distinct), np.uint64)
     keys, at = words.windows(hashes, n)
     doc = words.doc[at]
     few = np.flatnonzero((words.counts > 0) & (words.counts < n))

@@ -74,8 +74,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The texts of a batch as large strings, nulls as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts of a batch as large strings of their own, nulls as empty.
+
+    A slice is copied: some Arrow string kernels misread arrays that begin within a buffer.
+    """
+    texts = batch.column(column)
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -97,9 +103,7 @@ class Words:
     starts[i]:starts[i + 1]: the words of text i.
     """
 
-    def __init__(self, texts: pa.Array, *, lower: bool = False):
-        if lower:
-            texts = pc.ascii_lower(texts)
+    def __init__(self, texts: pa.Array):
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         encoded = flat.dictionary_encode() if len(flat) else pa.array([], pa.large_string()).dictionary_encode()
