@@ -31,19 +31,19 @@ from claimlens.llm.shared import Words, mix, slices, texts_of
 TOKENIZERS = "/opt/tokenizers"
 MEMO_WORDS = 200_000
 #: Fixed values. By script: code points at which its letters begin and end; least and greatest
-#: characters per byte-level token; least characters per piece; greatest share of byte fallbacks; least
-#: bits of entropy for a text of 100 tokens or more.
+#: characters per byte-level token; least letters per byte-level token; least characters per piece;
+#: greatest share of byte fallbacks; least bits of entropy for a text of 100 tokens or more.
 BANDS = {
-    "latin": ((0x41, 0x24F), (1.6, 6.5), 1.55, 0.10, 3.0),
-    "greek": ((0x370, 0x3FF), (0.4, 3.0), 0.6, 0.60, 3.0),
-    "cyrillic": ((0x400, 0x52F), (0.4, 4.0), 0.8, 0.60, 3.0),
-    "hebrew_arabic": ((0x590, 0x77F), (0.3, 3.0), 0.5, 0.80, 3.0),
-    "other": ((0x780, 0x10FFFF), (0.2, 3.0), 0.3, 0.95, 2.5),
+    "latin": ((0x41, 0x24F), (1.6, 6.5), 1.4, 1.3, 0.10, 3.0),
+    "greek": ((0x370, 0x3FF), (0.4, 3.0), 0.3, 0.4, 0.60, 3.0),
+    "cyrillic": ((0x400, 0x52F), (0.4, 4.0), 0.3, 0.6, 0.60, 3.0),
+    "hebrew_arabic": ((0x590, 0x77F), (0.3, 3.0), 0.2, 0.4, 0.80, 3.0),
+    "other": ((0x780, 0x10FFFF), (0.2, 3.0), 0.1, 0.2, 0.95, 2.5),
 }
 SCRIPTS = list(BANDS)
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, script string, chars_per_token double, chars_per_piece double, "
+    "base_failed boolean, kept boolean, script string, chars_per_token double, letters_per_token double, chars_per_piece double, "
     "byte_share double, token_entropy double"
 )
 
@@ -74,20 +74,20 @@ def script_of(word: str) -> int:
 
 
 class _Memo:
-    """word -> (byte-level token ids, pieces, byte pieces, script), for as many words as fit."""
+    """word -> (byte-level token ids, pieces, byte pieces, script, letters), for as many words as fit."""
 
     def __init__(self, folder: str):
         self.bpe, self.pieces, self.is_byte = _encoders(folder)
-        self.known: dict[str, tuple[tuple[int, ...], int, int, int]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], int, int, int, int]] = {}
 
-    def of(self, words: list[str]) -> list[tuple[tuple[int, ...], int, int, int]]:
+    def of(self, words: list[str]) -> list[tuple[tuple[int, ...], int, int, int, int]]:
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         made = {}
         for w, ids in zip(new, self.pieces.encode(new, num_threads=1) if new else [], strict=True):
             n_bytes = int(self.is_byte[ids].sum())
-            made[w] = (tuple(self.bpe.encode_ordinary(" " + w)), len(ids), n_bytes, script_of(w))
+            made[w] = (tuple(self.bpe.encode_ordinary(" " + w)), len(ids), n_bytes, script_of(w), sum(map(str.isalpha, w)))
         found = [made[w] if w in made else self.known[w] for w in words]
         self.known.update(made)
         return found
@@ -145,6 +145,7 @@ def measures(texts: pa.Array, memo: _Memo) -> dict[str, np.ndarray]:
     lengths = words.per_word(map(len, words.distinct), np.int64)
     chars, count = words.sums(lengths), words.counts
     tokens = words.per_word((len(f[0]) for f in found), np.int64)
+    letters = words.sums(words.per_word((f[4] for f in found), np.int64))
     pieces = words.sums(words.per_word((f[1] for f in found), np.int64))
     n_bytes = words.sums(words.per_word((f[2] for f in found), np.int64))
     script = words.per_word((f[3] for f in found), np.int64)
@@ -160,12 +161,13 @@ def measures(texts: pa.Array, memo: _Memo) -> dict[str, np.ndarray]:
     repeats = words.sums(repeated_words(words).astype(np.int64))
     failed = (count < 10) | (100 * repeats > 20 * count)
     by_token, by_piece = chars / np.maximum(n_tokens, 1), chars / np.maximum(pieces, 1)
+    by_letter = letters / np.maximum(n_tokens, 1)
     share = n_bytes / np.maximum(pieces, 1)
     which = votes.argmax(axis=1)
-    low, high, piece, most, least = (
-        np.array(x)[which] for x in zip(*[(b[1][0], b[1][1], b[2], b[3], b[4]) for b in BANDS.values()], strict=True)
+    low, high, letter, piece, most, least = (
+        np.array(x)[which] for x in zip(*[(*b[1], *b[2:]) for b in BANDS.values()], strict=True)
     )
-    fits = (by_token >= low) & (by_token <= high) & (by_piece >= piece) & (share <= most)
+    fits = (by_token >= low) & (by_token <= high) & (by_letter >= letter) & (by_piece >= piece) & (share <= most)
     fits &= (n_tokens < 100) | (bits >= least)
     return {
         "n_words": count,
@@ -177,6 +179,7 @@ def measures(texts: pa.Array, memo: _Memo) -> dict[str, np.ndarray]:
         "kept": ~failed & fits,
         "script": np.array(SCRIPTS, object)[which],
         "chars_per_token": by_token,
+        "letters_per_token": by_letter,
         "chars_per_piece": by_piece,
         "byte_share": share,
         "token_entropy": bits,
