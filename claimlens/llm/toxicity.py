@@ -159,7 +159,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate: float = 0.2, seed: int = 5) -> Boosted:
     """Second-order boosting of the logistic loss; every fourth row calibrates instead of training."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Boosted(float(np.log(p / (1 - p))), rate)
     held = np.random.default_rng(seed).permutation(len(y)) % 4 == 0
