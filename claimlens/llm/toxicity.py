@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features of whole texts, with isotonic calibration.
 
-Features are densities of an insult and a threat lexicon (plain and disguised spellings apart), insults
-within five words of a second person, capitals, punctuation and disguised spelling. Trees and the
-calibration are fitted on the driver from a bounded sample of labelled rows outside the held-out fold;
+Features are densities of an insult and a threat lexicon (plain and disguised spellings apart), of a
+lexicon of words and stems that one half of the sample shows to go with the label, insults within five
+words of a second person, capitals, punctuation and disguised spelling. Trees and the calibration are
+fitted on the driver from the other half. The sample is bounded, of labelled rows outside the held-out fold;
 every document is then scored from its own text alone.
 
 Defined cases: null and empty texts have features of 0 and so the score of an empty text; repeated rows
@@ -24,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from claimlens.llm.shared import Words, held_out, slices, texts_of
+from claimlens.llm.shared import Words, held_out, slices, texts_of, written
 
 SAMPLE_ROWS = 8_000
+#: Learned lexicon: entries at most, least log-likelihood ratio (about six standard errors), stem lengths.
+LEXICON_ENTRIES = 400
+LEXICON_RATIO = 30.0
+STEMS = range(4, 10)
 THRESHOLD = 0.3
 NEAR = 5
 #: Fixed word lists.
@@ -47,11 +52,12 @@ _LEET = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = (
     "insults", "insult_count", "insult_kinds", "near_you", "threats", "disguised_insults", "second_person",
     "capital_words", "capital_letters", "exclamations", "questions", "punctuation", "disguised_words", "length",
+    "learned", "learned_count", "learned_kinds",
 )
 
 
-def word_kind(word: str) -> tuple[bool, bool, bool, bool, bool, bool]:
-    """Whether a word is an insult, threat, disguised insult, second person, in capitals, disguised."""
+def word_kind(word: str, lexicon: frozenset[str] = frozenset()) -> tuple[bool, ...]:
+    """Whether a word is an insult, threat, disguised insult, second person, in capitals, disguised, learned."""
     low = word.lower()
     bare = low.strip(".,;:!?\"'()[]{}<>*_-~`«»¡¿…")
     letters = sum(c.isalpha() for c in word)
@@ -62,7 +68,8 @@ def word_kind(word: str) -> tuple[bool, bool, bool, bool, bool, bool]:
     if not insult and disguised:
         plain = re.sub(r"[\W_\d]", "", bare.translate(_LEET))
         hidden = plain in _INSULTS or ("*" in bare and len(bare) > 3 and _masked(bare))
-    return insult, bare in _THREATS, hidden, bare in _SECOND, letters > 1 and word.isupper(), disguised
+    learned = bool(lexicon) and any(f"{bare[:k]}*" in lexicon for k in STEMS if k <= len(bare))
+    return insult, bare in _THREATS, hidden, bare in _SECOND, letters > 1 and word.isupper(), disguised, learned
 
 
 def _masked(word: str) -> bool:
@@ -73,15 +80,15 @@ def _masked(word: str) -> bool:
 _INSULTS, _THREATS, _SECOND = frozenset(INSULTS), frozenset(THREATS), frozenset(SECOND_PERSON)
 
 
-def features(texts: pa.Array, memo: dict[str, tuple[bool, ...]]) -> np.ndarray:
+def features(texts: pa.Array, memo: dict[str, tuple[bool, ...]], lexicon: frozenset[str] = frozenset()) -> np.ndarray:
     """A row of FEATURES for each text."""
     if len(memo) > 400_000:
         memo.clear()
     words = Words(texts)
     for w in words.distinct:
         if w not in memo:
-            memo[w] = word_kind(w)
-    kinds = np.array([memo[w] for w in words.distinct], bool).reshape(-1, 6)[words.codes]
+            memo[w] = word_kind(w, lexicon)
+    kinds = np.array([memo[w] for w in words.distinct], bool).reshape(-1, 7)[words.codes]
     n, chars = words.counts, np.asarray(pc.utf8_length(texts), dtype=np.int64)
     per_word, per_char = 1 / np.maximum(n, 1), 1 / np.maximum(chars, 1)
     bad = kinds[:, 0] | kinds[:, 2]
@@ -91,8 +98,11 @@ def features(texts: pa.Array, memo: dict[str, tuple[bool, ...]]) -> np.ndarray:
     low = np.maximum(at - NEAR, words.starts[words.doc])
     high = np.minimum(at + NEAR + 1, words.starts[words.doc + 1])
     near = bad & (running[high] > running[low])
-    pairs = np.unique(words.doc[bad] * (len(words.distinct) + 1) + words.codes[bad])
-    insults = words.sums(bad.astype(np.int64))
+    insults, learned = words.sums(bad.astype(np.int64)), words.sums(kinds[:, 6].astype(np.int64))
+
+    def different(which: np.ndarray) -> np.ndarray:
+        pairs = np.unique(words.doc[which] * (len(words.distinct) + 1) + words.codes[which])
+        return np.bincount(pairs // (len(words.distinct) + 1), minlength=len(texts))
 
     def count(pattern: str) -> np.ndarray:
         return np.asarray(pc.count_substring_regex(texts, pattern), dtype=np.int64)
@@ -100,7 +110,7 @@ def features(texts: pa.Array, memo: dict[str, tuple[bool, ...]]) -> np.ndarray:
     return np.column_stack([
         insults * per_word,
         np.log1p(insults),
-        np.bincount(pairs // (len(words.distinct) + 1), minlength=len(texts)),
+        different(bad),
         words.sums(near.astype(np.int64)) * per_word,
         words.sums(kinds[:, 1].astype(np.int64)) * per_word,
         words.sums(kinds[:, 2].astype(np.int64)) * per_word,
@@ -112,6 +122,9 @@ def features(texts: pa.Array, memo: dict[str, tuple[bool, ...]]) -> np.ndarray:
         count(r"[[:punct:]]") * per_char,
         words.sums(kinds[:, 5].astype(np.int64)) * per_word,
         np.log1p(n),
+        learned * per_word,
+        np.log1p(learned),
+        different(kinds[:, 6]),
     ])
 
 
@@ -123,6 +136,7 @@ class Boosted:
     rate: float
     cuts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     steps: tuple[np.ndarray, np.ndarray] | None = None
+    lexicon: frozenset[str] = frozenset()
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -202,12 +216,12 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate:
     return model
 
 
-def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _featured(docs: DataFrame, keep: list[str], lexicon: frozenset[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
             for part in slices(batch):
-                rows = features(texts_of(part), memo)
+                rows = features(texts_of(part), memo, lexicon)
                 values = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), rows.ravel())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), values], [*keep, "features"])
 
@@ -215,19 +229,49 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
+def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES, ratio: float = LEXICON_RATIO) -> frozenset[str]:
+    """Stems ("stem*") that documents of label 1 have far oftener: at most `entries`, by the
+    log-likelihood ratio of their document counts. `sample` has text and toxic."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), F.lit(1)))
+    word = sample.select("doc_id", "toxic", F.explode(words).alias("w"))
+    cuts = F.filter(F.array(*[F.when(F.length("w") >= k, F.substring("w", 1, k)) for k in STEMS]), lambda x: x.isNotNull())
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return frozenset()
+    # a stem counts as present with one word, or, where it is a common syllable, only with three
+    per_doc = word.select("doc_id", "toxic", F.explode(cuts).alias("stem")).groupBy("doc_id", "toxic", "stem").agg(F.count("*").alias("n"))
+    levels = F.explode(F.when(F.col("n") >= 3, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1))))
+    counted = per_doc.select("toxic", "stem", levels.alias("level")).groupBy("stem", "level").agg(
+        F.count_if(F.col("toxic") == 1).cast("double").alias("a"), F.count_if(F.col("toxic") == 0).cast("double").alias("b")
+    )
+    share = (F.col("a") + F.col("b")) / (n1 + n0)
+    g2 = 2 * (F.col("a") * F.ln(F.col("a") / (n1 * share)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (n0 * share))).otherwise(0.0))
+    often = counted.filter((F.col("a") >= 5) & (F.col("a") / n1 > 5 * F.col("b") / n0)).withColumn("g2", g2)
+    often = often.groupBy("stem").agg(F.max("g2").alias("g2"))
+    top = often.filter(F.col("g2") >= ratio).orderBy(F.col("g2").desc(), "stem").limit(entries)
+    return frozenset(f"{r['stem']}*" for r in top.select("stem").collect())
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Boosted:
-    """A model from at most `sample_rows` labelled rows of either class, drawn by a hash of doc_id."""
+    """A model from at most `sample_rows` labelled rows of either class, drawn by a hash of doc_id; one
+    half of them gives the lexicon, the other the trees."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [
         usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         for label in (0, 1)
     ]
-    # 2 * sample_rows rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-    got = _featured(sample, ["doc_id", "toxic"]).orderBy(F.xxhash64("doc_id", "features")).limit(2 * sample_rows).toArrow()
+    # 2 * sample_rows ids at most
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id"), "labelled")
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    lexicon = learn_lexicon(sample.filter(half == 0))
+    rows = _featured(sample.filter(half == 1), ["doc_id", "toxic"], lexicon)
+    got = rows.orderBy(F.xxhash64("doc_id", "features")).limit(2 * sample_rows).toArrow()
     x = np.asarray(got["features"].combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
-    return fit(x, np.asarray(got["toxic"], dtype=np.int64))
+    model = fit(x, np.asarray(got["toxic"], dtype=np.int64))
+    model.lexicon = lexicon
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Boosted, threshold: float = THRESHOLD) -> DataFrame:
@@ -237,7 +281,7 @@ def score_toxicity(docs: DataFrame, model: Boosted, threshold: float = THRESHOLD
         memo: dict = {}
         for batch in batches:
             for part in slices(batch):
-                score = model.score(features(texts_of(part), memo))
+                score = model.score(features(texts_of(part), memo, model.lexicon))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     out = StructType([docs.schema["doc_id"], StructField("score", DoubleType())])
