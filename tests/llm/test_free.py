@@ -3,7 +3,6 @@
 import collections
 import math
 import random
-import re
 import zlib
 
 import numpy as np
@@ -11,9 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_plain import WORD, plain_components, shingles
+
 from claimlens.llm import langid, neardup, quality, shared, token_counts, toxicity
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
     (900, None), (901, ""), (902, " \n\t "), (903, "one"), (904, "same same"), (904, "same same"), (905, "x " * 400),
     (906, "nbsp word em space"), (907, "ÇÈ Ê ʊ 東京 мир " * 9), (908, "a" * 5000), (909, "  two  spaces \n\n lines\n lines"),
@@ -78,33 +78,6 @@ def test_quality_verdicts(documents):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 4]
 
 
-def shingles(value, n):
-    words = [w.encode().lower() for w in WORD.findall(value or "")]
-    if len(words) < n:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-
-
-def plain_components(rows, n):
-    sets = collections.defaultdict(list)
-    for d, t in rows:
-        sets[d].append(shingles(t, n))
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    flat = [(d, s) for d, group in sets.items() for s in group if s]
-    for i, (d, a) in enumerate(flat):
-        for e, b in flat[:i]:
-            if 100 * len(a & b) >= 80 * len(a | b):
-                x, y = sorted((find(d), find(e)))
-                root[y] = x
-    return {d: find(d) for d in sets}
-
-
 def edited(rng, words, rate):
     return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < rate else w for w in words.split())
 
@@ -138,12 +111,14 @@ def test_near_duplicates_of_null_and_empty(documents):
     assert sorted(str(r["component_id"]) for r in got) == ["3", "4", "None", "None"] and all(r["kept"] for r in got)
 
 
-def test_large_families_are_tried_from_hubs(documents, monkeypatch):
-    """With a budget of no pairs every round is a hub round until the last, and nothing is lost."""
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
+def test_links_apart_from_the_hub_are_found(documents):
+    """Heavily edited members that link with each other and not with the family's hub."""
     rng = random.Random(9)
     base = text(rng, 200)
-    rows = [(k, edited(rng, base, 0.05)) for k in range(60)] + [(99, base)]
+    rows = [(k, edited(rng, base, 0.04)) for k in range(60)] + [(999, base)]
+    for pair in range(12):
+        odd = edited(rng, base, 0.09)
+        rows += [(100 + 10 * pair + k, edited(rng, odd, 0.015)) for k in range(3)]
     got = neardup.near_duplicates(documents(rows), shingle=2).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(rows, 2)
 

@@ -4,15 +4,15 @@ import collections
 import hashlib
 import math
 import random
-import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_plain import WORD, plain_targets
+
 from claimlens.llm import chat, decontam, line_dedup, mixing, sharding
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (None, "no id here"), (904, "same same"), (904, "same same")]
 
 
@@ -20,20 +20,6 @@ def text(rng, n, vocabulary=200):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
-def plain_targets(sizes, weights):
-    target, live, left = {}, set(sizes), sum(sizes.values())
-    while live:
-        whole = sum(weights[s] for s in live)
-        over = {s for s in live if left * weights[s] / whole >= 3 * sizes[s]}
-        if not over:
-            return target | {s: left * weights[s] / whole for s in live}
-        for s in over:
-            target[s] = 3.0 * sizes[s]
-            left -= target[s]
-        live -= over
-    return target
-
-
 @pytest.mark.parametrize("block_words", [1, 64])
 def test_mixing(documents, block_words):
     rng = random.Random(1)
