@@ -8,9 +8,10 @@ collections hold a matching band with probability (1 - (1 - s^3)^m)^2, for m = 1
 Documents of equal shingle sets are one class before any key is made. In each table bucket the
 class that shares most buckets with others (the hub, so that a family of copies meets its original)
 is paired with every other member: pairs grow with members, not with their square. All pairs are
-verified on full shingle sets. Linked classes are joined into components, and what remains of a bucket
-in different components is tried again: buckets with few such pairs in full, larger ones from a new
-hub, until none holds an untested pair across components. Pairs within a component can't change it.
+verified on full shingle sets. Linked classes are joined into components. Documents that share a bucket
+with another component then meet once more, by an exact prefix and position filter over their full
+sets, and the pairs it leaves are verified too: no link between members other than the hub is lost.
+Pairs within a component can't change it.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing, equal ones
 included; with fewer words than a shingle has, the whole sequence is the only shingle; ties go to the
@@ -39,10 +40,6 @@ PERCENT = 80
 _SEED = 20_240_917
 #: Ids up to which a filter on documents is broadcast (16 MB) instead of shuffled.
 BROADCAST_IDS = 2_000_000
-#: Cross-component pairs for each member row up to which they are all tried at once.
-PAIRS_PER_ROW = 8
-#: Rounds of hubs at most before all pairs across components are tried.
-HUB_ROUNDS = 6
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +122,18 @@ def sketch(docs: DataFrame, shingle: int, bands: int = BANDS) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
-def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, shingles: the whole set of every row."""
+def full_sets(docs: DataFrame, shingle: int, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of `keep`, shingles: the whole set of every row."""
+    kept = ["doc_id", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 keys, starts = shingle_sets(texts_of(part), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(keys, starts)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(keys, starts)], [*kept, "shingles"])
 
-    out = StructType([docs.schema["doc_id"], StructField("shingles", ArrayType(LongType()))])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
+    out = StructType([*(docs.schema[c] for c in kept), StructField("shingles", ArrayType(LongType()))])
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,17 +198,12 @@ def near_duplicates(
     classed = real.select("doc_id", *same).join(classes.select(*same, "doc"), same)
     copies = classed.filter("doc_id <> doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
     found = written(copies, "copies")
-    tested = None
-    for turn in range(HUB_ROUNDS):
-        pairs = _untested(_hub_pairs(member), tested, percent)
-        tested = pairs if tested is None else written(tested.union(pairs), "tested")
-        found = found.union(_verified(pairs, docs, shingle, percent))
-        member, n_pairs, n_rows = _across(member, components(found))
-        if not n_pairs:
-            break
-        if n_pairs <= PAIRS_PER_ROW * n_rows or turn == HUB_ROUNDS - 1:
-            found = found.union(_verified(_untested(_all_pairs(member), tested, percent), docs, shingle, percent))
-            break
+    tested = _untested(_hub_pairs(member), None, percent)
+    found = found.union(_verified(tested, docs, shingle, percent))
+    left = _across(member, components(found))
+    if left is not None:
+        rest = _untested(_prefix_pairs(left, docs, shingle, percent), tested, percent)
+        found = found.union(_verified(rest, docs, shingle, percent))
     root = components(found)
     linked = rows.join(bounded(root, BROADCAST_IDS), F.col("doc_id") == F.col("node"), "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
@@ -227,12 +220,32 @@ def _hub_pairs(member: DataFrame) -> DataFrame:
     return hubbed.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), b, F.col("hub.n").alias("n_b")).filter("a <> b")
 
 
-def _all_pairs(member: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b): pairs of bucket members in different components."""
-    x, y = member.alias("x"), member.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
+def _prefix_pairs(open_docs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, n_a, b, n_b): pairs in different components, of (doc, root), that can still be similar.
+
+    Shingles are put in the order of how many of these documents have them. Two sets as similar as asked
+    share one of the first n - ceil(p n) + 1 of each, and behind the first that they share, both have
+    enough left for the whole overlap. A document with many shingles of its own spends its prefix on
+    them, so a large family of copies doesn't meet all its odd members.
+    """
+    part = f"{percent} / 100D"
+    ids = open_docs.select(F.col("doc").alias("doc_id"), "root")
+    texts = docs.select("doc_id", "text").join(bounded(ids, BROADCAST_IDS), "doc_id")
+    sets = full_sets(texts, shingle, ["root"]).withColumn("n", F.size("shingles")).withColumn("set_id", F.xxhash64("shingles"))
+    tokens = written(sets.select("doc_id", "root", "set_id", "n", F.explode("shingles").alias("s")), "tokens")
+    often = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("doc_id", "set_id").orderBy("df", "s")
+    ranked = tokens.join(often, "s").withColumn("place", F.row_number().over(order) - 1)
+    first = ranked.filter(f"place <= n - ceil({part} * n) and low < high")
+    first = written(first.select("s", F.col("doc_id").alias("doc"), "root", "n", (F.col("n") - F.col("place")).alias("rest")), "prefixes")
+    needed = F.expr(f"ceil({part} / (1 + {part}) * (x.n + y.n) - 1e-9)")
+    similar = (
+        (F.col("x.s") == F.col("y.s"))
+        & (F.col("x.root") < F.col("y.root"))
+        & (F.least("x.rest", "y.rest") >= needed)
+    )
     one = [F.col("x.doc").alias("a"), F.col("x.n").alias("n_a")]
-    return x.join(y, across).select(*one, F.col("y.doc").alias("b"), F.col("y.n").alias("n_b"))
+    return first.alias("x").join(first.alias("y"), similar).select(*one, F.col("y.doc").alias("b"), F.col("y.n").alias("n_b"))
 
 
 def _untested(pairs: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
@@ -255,22 +268,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return written(close.select("a", "b"), "links")
 
 
-def _across(member: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
-    """The bucket rows of buckets with several components, how many pairs across them, and the rows.
+def _across(member: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """doc, root of the documents in buckets that hold several components; None if there are none.
 
     Of a bucket of two the only pair has been tested.
     """
-    rooted = member.drop("members", "root").join(roots, F.col("doc") == F.col("node"), "left")
+    rooted = member.drop("members").join(roots, F.col("doc") == F.col("node"), "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "doc")).drop("node")
-    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("k"))
-    open_keys = per_root.groupBy("key").agg(
-        F.sum("k").alias("members"), F.sum(F.col("k") * F.col("k")).alias("inner"), F.count("*").alias("roots")
-    )
-    open_keys = written(open_keys.filter("roots > 1 and members > 2"), "open")
-    pairs = F.sum((F.col("members") * F.col("members") - F.col("inner")) / 2)
-    n_pairs, n_rows = open_keys.agg(F.coalesce(pairs, F.lit(0)), F.coalesce(F.sum("members"), F.lit(0))).first()
-    left = rooted.join(open_keys.select("key", "members"), "key") if n_pairs else rooted
-    return (written(left, "left") if n_pairs else left), int(n_pairs), int(n_rows)
+    bucket = rooted.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = bucket.filter("low < high and members > 2").select("key")
+    left = written(rooted.join(mixed, "key").select("doc", "root").distinct(), "open")
+    return None if left.isEmpty() else left
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
