@@ -6,6 +6,7 @@ the same way, whether on the JVM side (`WORD`) or over Arrow buffers (`Words`).
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step works on, so that memory follows this and not the batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,6 +95,15 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         end = max(begin + 1, int(np.searchsorted(ends, floor + SLICE_BYTES, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and an executor's limit counts them all."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:
