@@ -191,4 +191,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the rows of `docs` whose doc_id has no matching window; a null doc_id is matched
     like any other."""
     bad = written(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
-    return docs.join(bounded(bad, 2_000_000), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.bad_id"))
+    return docs.alias("d").join(bounded(bad, 1_000_000).alias("b"), same, "left_anti")

@@ -164,11 +164,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = removed_runs(docs, min_words).groupBy("doc_id", "doc_hash").agg(
         F.collect_list(F.struct("first_line", "last_line")).alias("cut_runs")
     )
-    hashed = docs.withColumn("doc_hash", F.xxhash64("text")) if "doc_hash" not in docs.columns else None
-    if hashed is None:
-        raise ValueError("documents may not have a column doc_hash")
-    key = [F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), F.col("d.doc_hash") == F.col("r.doc_hash")]
-    joined = hashed.alias("d").join(runs.alias("r"), key, "left")
+    key = [F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), F.xxhash64("d.text") == F.col("r.doc_hash")]
+    joined = docs.alias("d").join(runs.alias("r"), key, "left")
     lines = F.split("d.text", "\n", -1)
     stay = F.filter(
         lines, lambda line, i: ~F.exists(F.col("r.cut_runs"), lambda c: (c["first_line"] <= i) & (i <= c["last_line"]) & line.rlike(WORD))

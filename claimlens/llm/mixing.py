@@ -157,6 +157,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     copies = taken.filter("all_words > 0").select("mixed_id", F.round(F.col("taken_words") / F.col("all_words")).cast("int").alias("copies"))
     wanted = written(copies.filter("copies > 0"), "copies")
-    joined = docs.join(bounded(wanted, 2_000_000), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    repeated = joined.withColumn("one_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    joined = docs.alias("d").join(bounded(wanted, 1_000_000).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.mixed_id")))
+    # the row travels as one struct, so that no column of `docs` can clash with the repetition
+    row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    return joined.select(row.alias("row"), F.explode(F.sequence(F.lit(1), F.col("w.copies")))).select("row.*")

@@ -38,8 +38,8 @@ BAND_ROWS = 3
 SHINGLE = 5
 PERCENT = 80
 _SEED = 20_240_917
-#: Ids up to which a filter on documents is broadcast (16 MB) instead of shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which a filter on documents is broadcast instead of shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,4 +286,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     the smallest doc_id."""
     gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = written(gone, "gone")
-    return docs.join(bounded(gone, BROADCAST_IDS), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.alias("d").join(bounded(gone, BROADCAST_IDS).alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")

@@ -15,7 +15,8 @@ def documents(spark):
             # columns that clash with names the operators use
             from pyspark.sql import functions as F
 
-            for name in ("size", "shard", "key", "words", "start", "score", "kept", "features", "part", "offset", "root", "label"):
+            for name in ("size", "shard", "key", "words", "start", "score", "kept", "features", "part", "offset", "root", "label", "doc_hash",
+                         "bad_id", "gone_id", "mixed_id", "copies", "row", "col"):
                 df = df.withColumn(name, F.lit("own"))
         return df.repartition(3)
 
