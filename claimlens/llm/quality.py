@@ -7,7 +7,7 @@ most words reject texts that tokenizers break up (symbol noise, all capitals, en
 the same over and over. Base rules on words and repetition come before.
 
 Words repeat, so a batch is dictionary-encoded in Arrow and each distinct word is encoded once; counts
-over words are NumPy sums. Memory follows the slice (about 8 MB of text) and a bounded memo of words.
+over words are NumPy sums. Memory follows the slice (about 3 MB of text) and a bounded memo of words.
 
 Defined cases: null and empty texts have no words and fail the base rules, with all measures 0; words
 without letters belong to the script `other`; a tie between scripts goes to the first in BANDS; one very
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from claimlens.llm.shared import Words, mix, slices, texts_of
 
 TOKENIZERS = "/opt/tokenizers"
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Fixed values. By script: code points at which its letters begin and end; least and greatest
 #: characters per byte-level token; least letters per byte-level token; least characters per piece;
 #: greatest share of byte fallbacks; least bits of entropy for a text of 100 tokens or more.
@@ -64,6 +65,8 @@ def _encoders(folder: str):
 
 
 def script_of(word: str) -> int:
+    if "A" <= word[:1] <= "z" and word[:1].isalpha():
+        return 0
     for c in word:
         if c.isalpha():
             at = ord(c)
@@ -85,9 +88,15 @@ class _Memo:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         made = {}
-        for w, ids in zip(new, self.pieces.encode(new, num_threads=1) if new else [], strict=True):
-            n_bytes = int(self.is_byte[ids].sum())
-            made[w] = (tuple(self.bpe.encode_ordinary(" " + w)), len(ids), n_bytes, script_of(w), sum(map(str.isalpha, w)))
+        ids = self.pieces.encode(new, num_threads=1) if new else []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flags = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(ids), np.int64)])])
+        ends = np.cumsum(sizes)
+        n_bytes = (flags[ends] - flags[ends - sizes]).tolist()
+        encode = self.bpe.encode_ordinary
+        for w, n, k in zip(new, sizes.tolist(), n_bytes, strict=True):
+            letters = len(w) if w.isalpha() else sum(map(str.isalpha, w))
+            made[w] = (tuple(encode(" " + w)), n, k, script_of(w), letters)
         found = [made[w] if w in made else self.known[w] for w in words]
         self.known.update(made)
         return found
