@@ -58,3 +58,16 @@ def reduce_lists(rows: DataFrame) -> DataFrame:
 def result_rows(lists: DataFrame, metadata: DataFrame) -> DataFrame:
     """Physical statistics joined with the logical columns of their requests, by work_id."""
     return reduce_lists(lists).join(metadata, "work_id")
+
+
+def attach_marginals(requests: DataFrame, marginals: DataFrame) -> DataFrame:
+    """One row for each masked position of (request_id, target_ids, ...), with its probabilities.
+
+    Joined by key, so neither side's order matters. `mismatch` is true where the position has no
+    marginal, or one of another target; marginals of no request are left out.
+    """
+    keep = [c for c in requests.columns if c not in ("target_ids", "position")]
+    positions = requests.select(*keep, F.posexplode("target_ids").alias("position", "target_id"))
+    given = marginals.select("request_id", "position", F.col("target_id").alias("given_target"), "probabilities")
+    joined = positions.join(given, ["request_id", "position"], "left")
+    return joined.withColumn("mismatch", ~F.col("given_target").eqNullSafe(F.col("target_id"))).drop("given_target")

@@ -111,3 +111,24 @@ def test_plan_difference_and_misses(spark):
 def test_cache_rows_have_no_metadata(spark):
     assert artifacts.cache_rows(scored_fixture(spark)).columns == artifacts.CACHE_SCHEMA.names
     assert "label" not in artifacts.CACHE_SCHEMA.names
+
+
+def test_marginals_attach_by_key(spark):
+    requests = spark.createDataFrame([("r", [1, 0]), ("s", [1])], "request_id string, target_ids array<int>")
+    rows = [("s", 0, 0, [0.5, 0.5]), ("r", 1, 0, [0.25, 0.75]), ("r", 0, 1, [0.5, 0.5]), ("t", 0, 0, [1.0, 0.0])]
+    marginals = spark.createDataFrame(rows, "request_id string, position int, target_id int, probabilities array<double>")
+    got = {(r["request_id"], r["position"]): (r["target_id"], r["probabilities"], r["mismatch"]) for r in scoring.attach_marginals(requests, marginals).collect()}
+    assert got == {("r", 0): (1, [0.5, 0.5], False), ("r", 1): (0, [0.25, 0.75], False), ("s", 0): (1, [0.5, 0.5], True)}
+
+
+def test_results_carry_their_metadata(spark):
+    raw = spark.createDataFrame([("w", 0, 0, [0.5, 0.5])], "work_id string, position int, target_id int, probabilities array<double>")
+    lists = scoring.statistics_as_lists(scoring.score_positions(raw), ["work_id"])
+    meta = spark.createDataFrame([("w", "a"), ("v", "b")], "work_id string, example_id string")
+    row = scoring.result_rows(lists, meta).first()
+    assert (row["example_id"], row["n_masked_pieces"], row["top_mismatch_rate"]) == ("a", 1, 0.0)
+
+
+def test_overlapping_shards(spark):
+    ids = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2), ("c", 2)], "work_id string, partition_index int")
+    assert [r[0] for r in validation.overlapping_shards(ids).collect()] == [2]
