@@ -7,7 +7,7 @@ most words reject texts that tokenizers break up (symbol noise, all capitals, en
 the same over and over. Base rules on words and repetition come before.
 
 Words repeat, so a batch is dictionary-encoded in Arrow and each distinct word is encoded once; counts
-over words are NumPy sums. Memory follows the slice (about 3 MB of text) and a bounded memo of words.
+over words are NumPy sums. Memory follows the slice (about 1 MB of text) and a bounded memo of words.
 
 Defined cases: null and empty texts have no words and fail the base rules, with all measures 0; words
 without letters belong to the script `other`; a tie between scripts goes to the first in BANDS; one very
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from claimlens.llm.shared import Words, mix, slices, texts_of
 
 TOKENIZERS = "/opt/tokenizers"
-MEMO_WORDS = 100_000
+MEMO_WORDS = 60_000
+#: Every token of a slice is laid out, so slices are smaller here.
+SLICE_BYTES = 1 << 20
 #: Fixed values. By script: code points at which its letters begin and end; least and greatest
 #: characters per byte-level token; least letters per byte-level token; least characters per piece;
 #: greatest share of byte fallbacks; least bits of entropy for a text of 100 tokens or more.
@@ -199,7 +201,7 @@ def _map(columns: list[str], schema: pa.Schema, folder: str, only_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(folder)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
                 got = measures(texts_of(part), memo)
                 if only_kept:
                     yield part.filter(pa.array(got["kept"]))

@@ -76,7 +76,7 @@ def shard_bounds(docs: DataFrame, n_shards: int) -> list:
 
 
 def with_shards(docs: DataFrame, n_shards: int = 40, name: str = "shard") -> DataFrame:
-    """All columns of `docs` and the shard of each row.
+    """All columns of `docs` and the shard of each row, as column `name` (it replaces one of that name).
 
     The cuts are n_shards sort keys, so that each row finds its shard by comparing with them and no
     text is shuffled. Rows that agree in the whole sort key stay together.

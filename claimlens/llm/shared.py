@@ -85,14 +85,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row ranges of the batch of about SLICE_BYTES of text each; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Row ranges of the batch of about `size` (SLICE_BYTES) of text each; a longer text stands alone."""
+    size = SLICE_BYTES if size is None else size
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     ends = np.cumsum(sizes.astype(np.int64))
     begin = 0
     while begin < len(ends):
         floor = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, floor + SLICE_BYTES, side="right")))
+        end = max(begin + 1, int(np.searchsorted(ends, floor + size, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
     release()

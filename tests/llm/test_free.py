@@ -30,7 +30,8 @@ def is_held_out(doc_id):
 
 @pytest.fixture(autouse=True)
 def small_slices(monkeypatch):
-    monkeypatch.setattr(shared, "SLICE_BYTES", 3000)
+    for module in (shared, quality):
+        monkeypatch.setattr(module, "SLICE_BYTES", 3000)
 
 
 def plain_quality(value):
