@@ -13,6 +13,9 @@ outright and about three seats a party are ranked.
 Defined cases: null texts have no words and take nothing; null is a source of its own, last in order;
 no words at all give targets of 0; repeated rows each count; a source or bucket without words gets no
 block. Columns besides doc_id, text and source don't enter, whatever their names.
+
+Whole documents: a bucket's quota cuts one document, which goes or stays whole; the words that this adds
+or leaves are carried to the source's next bucket, so that they don't add up.
 """
 
 from __future__ import annotations
@@ -103,12 +106,9 @@ def sized_documents(docs: DataFrame, seed: int, buckets: int = BUCKETS) -> DataF
     )
 
 
-def mix_sources(docs: DataFrame, *, seed: int = 17, buckets: int = BUCKETS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, block_words of every row of `docs`.
-
-    A block is at most `block_words` words and at most a hundredth of the smallest target's part in a
-    bucket, so that rounding to whole blocks stays below one per cent of any target.
-    """
+def _laid(docs: DataFrame, seed: int, buckets: int, block_words: int) -> DataFrame:
+    """Every row of `docs` on its bucket's line: where it starts, and the whole passes and the rest of the
+    words that the bucket's quota takes."""
     sized = written(sized_documents(docs, seed, buckets), "sized")
     lines = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("line"))
     sources = lines.groupBy("skey").agg(F.first("source").alias("source"), F.sum("line").alias("source_size"))
@@ -135,29 +135,74 @@ def mix_sources(docs: DataFrame, *, seed: int = 17, buckets: int = BUCKETS, bloc
     along = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size")
     start = F.coalesce(F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.when(F.col("line") > 0, F.expr("words div line")).otherwise(0)
-    rest = F.col("words") - F.col("passes") * F.col("line")
     return (
         sized.withColumn("start", start)
         .join(dealt, ["skey", "bucket"])
         .withColumn("passes", passes)
-        .withColumn(
-            "taken",
-            F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))),
-        )
-        .select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "block")
-        .withColumnRenamed("block", "block_words")
+        .withColumn("rest", F.col("words") - F.col("passes") * F.col("line"))
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """All columns of `docs`, each row as often as the mix takes it: `taken` over its size, to the
-    nearest whole (a document that a block boundary cuts goes or stays whole)."""
-    taken = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("mixed_id")).agg(
-        F.sum("taken").alias("taken_words"), F.sum("size").alias("all_words")
+def mix_sources(docs: DataFrame, *, seed: int = 17, buckets: int = BUCKETS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, block_words of every row of `docs`.
+
+    A block is at most `block_words` words and at most a hundredth of the smallest target's part in a
+    bucket, so that rounding to whole blocks stays below one per cent of any target.
+    """
+    first = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
+    taken = (F.col("passes") * F.col("size") + first).cast("long").alias("taken")
+    laid = _laid(docs, seed, buckets, block_words)
+    return laid.select("doc_id", "size", "source_size", "target", taken, F.col("block").alias("block_words"))
+
+
+def _stays(laid: DataFrame) -> DataFrame:
+    """skey, bucket of the buckets whose cut document goes once more.
+
+    A bucket's rest cuts one document at most. Along a source's buckets the words still owed are carried
+    on: the cut document goes if that leaves fewer owed, in absolute value, than leaving it. What is owed
+    in the end is at most half of the longest cut document. An array has one element a bucket at most.
+    """
+    cut = laid.filter((F.col("start") < F.col("rest")) & (F.col("rest") < F.col("start") + F.col("size")))
+    each = F.struct("bucket", (F.col("rest") - F.col("start")).alias("part"), "size")
+    begin = F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast("array<int>").alias("goes"))
+
+    def step(state: Column, x: Column) -> Column:
+        owed = state["owed"] + x["part"]
+        goes = 2 * owed >= x["size"]
+        return F.struct(
+            F.when(goes, owed - x["size"]).otherwise(owed).alias("owed"),
+            F.when(goes, F.concat(state["goes"], F.array(x["bucket"]))).otherwise(state["goes"]).alias("goes"),
+        )
+
+    carried = F.aggregate(F.sort_array(F.collect_list(each)), begin, step, lambda state: state["goes"])
+    return cut.groupBy("skey").agg(carried.alias("goes")).select("skey", F.explode("goes").alias("bucket"))
+
+
+def mixed_documents(
+    docs: DataFrame, *, seed: int = 17, buckets: int = BUCKETS, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """All columns of `docs`, each row as often as the mix takes it, in whole documents: a source's words
+    are those of the mix to within half of its longest document."""
+    laid = written(_laid(docs, seed, buckets, block_words).drop("source"), "laid")
+    stays = _stays(laid).withColumn("more", F.lit(1))
+    once = F.when(F.col("start") + F.col("size") <= F.col("rest"), 1).when(F.col("start") < F.col("rest"), F.coalesce("more", F.lit(0)))
+    dealt = laid.filter("size > 0").join(stays, ["skey", "bucket"], "left").withColumn("copies", F.col("passes") + F.coalesce(once, F.lit(0)))
+    units = dealt.groupBy(F.col("doc_id").alias("mixed_id"), "skey", F.col("size").alias("mixed_size")).agg(
+        F.sum("copies").cast("int").alias("copies"), F.count("*").cast("int").alias("alike")
     )
-    copies = taken.filter("all_words > 0").select("mixed_id", F.round(F.col("taken_words") / F.col("all_words")).cast("int").alias("copies"))
-    wanted = written(copies.filter("copies > 0"), "copies")
-    joined = docs.alias("d").join(bounded(wanted, 1_000_000).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.mixed_id")))
+    wanted = written(units.filter("copies > 0"), "copies")
     # the row travels as one struct, so that no column of `docs` can clash with the repetition
     row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
-    return joined.select(row.alias("row"), F.explode(F.sequence(F.lit(1), F.col("w.copies")))).select("row.*")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.mixed_id"))
+    repeated = not laid.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeated:
+        same = same & (source_key(F.col("d.source")) == F.col("w.skey")) & (word_count(F.col("d.text")) == F.col("w.mixed_size"))
+    joined = docs.alias("d").join(bounded(wanted, 1_000_000).alias("w"), same)
+    dealt_rows = joined.select(row.alias("row"), "w.mixed_id", "w.skey", "w.mixed_size", "w.copies", "w.alike")
+    if repeated:
+        # rows alike in id, source and size share their copies; only those are put in an order
+        alike = Window.partitionBy("mixed_id", "skey", "mixed_size").orderBy(F.xxhash64("row.text"))
+        share = F.expr("copies div alike + if(turn <= copies % alike, 1, 0)").cast("int")
+        shared = dealt_rows.filter("alike > 1").withColumn("turn", F.row_number().over(alike)).withColumn("copies", share)
+        dealt_rows = dealt_rows.filter("alike = 1").union(shared.filter("copies > 0").drop("turn"))
+    return dealt_rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

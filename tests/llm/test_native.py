@@ -59,6 +59,40 @@ def test_mixed_documents_keep_columns(documents):
     assert out.columns == docs.columns and 25 <= out.count() <= 33
 
 
+@pytest.mark.parametrize("counts", [[50] * 9, [1500] + [9] * 60])
+def test_mixed_documents_meet_targets(documents, counts):
+    """About one document a bucket and fewer: each source is off by a document at most, not by a direction."""
+    rng = random.Random(5)
+    sources = [f"s{k:02}" for k, n in enumerate(counts) for _ in range(n)]
+    rows = [(i, text(rng, rng.randint(20, 400)), None, s) for i, s in enumerate(sources)]
+    sizes, longest = collections.Counter(), collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+        longest[s] = max(longest[s], len(t.split()))
+    want = plain_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))})
+    out = mixing.mixed_documents(documents(rows)).select("doc_id", "source", F.size(F.split("text", " ")).alias("n")).collect()
+    got = collections.Counter()
+    for r in out:
+        got[r["source"]] += r["n"]
+    assert max(collections.Counter(r["doc_id"] for r in out).values()) <= mixing.REPEATS
+    for s in sizes:
+        assert abs(got[s] - want[s]) <= 0.01 * want[s] + longest[s] / 2 + 1, s
+
+
+def test_mixed_documents_share_an_id(documents):
+    """Rows with one doc_id are taken each by its own share."""
+    rng = random.Random(6)
+    rows = [(i // 4 or None, text(rng, rng.choice([30, 31])), None, "ab"[i % 2]) for i in range(400)]
+    out = mixing.mixed_documents(documents(rows)).select("source", F.size(F.split("text", " ")).alias("n")).collect()
+    sizes, got = collections.Counter(), collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    for r in out:
+        got[r["source"]] += r["n"]
+    for s, target in plain_targets(sizes, {"a": 1, "b": 2}).items():
+        assert abs(got[s] - target) <= 0.01 * target + 31
+
+
 def test_apportion_matches_highest_quotients(spark):
     rng = random.Random(2)
     weights = {i: rng.choice([1, 5, 40, 1000]) * rng.random() for i in range(25)}
