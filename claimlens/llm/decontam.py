@@ -4,9 +4,12 @@ A word 5-gram that a document shares with an item anchors a window of the item's
 the shared words match. A window without any shared 5-gram has similarity 0 to every item, so it needs
 no fingerprint. Windows and items get a 64-bit SimHash over their weighted 5-grams. The items'
 fingerprints are indexed by 8 blocks of 8 bits, each with all values within one bit: by the pigeonhole
-principle every fingerprint within 15 bits agrees with some indexed block, so none is missed. The pairs
-found are held to the radius, then to exact weighted similarity: sum of lesser weights over sum of
-greater weights, a 5-gram weighing its count times ln(1 + items / items that have it).
+principle every fingerprint within 15 bits agrees with some indexed block, so none is missed. No radius
+is exact for a similarity, since edited passages near 0.8 lie up to 20 bits off and more; so pairs are also
+found by an exact prefix filter: a pair at the threshold shares some of the item's heaviest 5-grams, taken
+until they weigh more than the item can lack. Either way pairs are held to exact weighted similarity: sum
+of lesser weights over sum of greater weights, a 5-gram weighing its count times ln(1 + items / items that
+have it).
 
 Words are lower-cased. Defined cases: null and empty texts match nothing; items of fewer than five
 words are ordinary phrases and match nothing; equal items each match; repeated rows of documents count
@@ -16,7 +19,7 @@ and text don't enter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm.shared import WORD, bounded, written
@@ -117,17 +120,31 @@ def _blocks(simhash: Column, near: bool) -> Column:
     ])
 
 
+def _prefixes(item_weights: DataFrame, similarity: float) -> DataFrame:
+    """item_id, item_words, gram: each item's heaviest grams, just more than 1 - similarity of its weight.
+
+    The sum of greater weights is the item's weight at least, so a window without any of these grams is
+    below the similarity; the margin is far above what rounding to 9 digits gives away.
+    """
+    heaviest = Window.partitionBy("item_id", "item_words").orderBy(F.col("df"), F.col("weight").desc(), "gram")
+    before = F.coalesce(F.sum("weight").over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = F.sum("weight").over(Window.partitionBy("item_id", "item_words"))
+    kept = item_weights.withColumn("before", before).withColumn("whole", whole)
+    return kept.filter(F.col("before") <= (1 - similarity + 1e-6) * F.col("whole")).select("item_id", "item_words", "gram")
+
+
 def contaminated_windows(
     docs: DataFrame, benchmark: DataFrame, *, radius: int = RADIUS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """doc_id, item_id, start (first word of the window, from 0), n_words, hamming, similarity: for
-    each document and item the most similar window, the first of equals."""
+    each document and item the most similar window, the first of equals. `radius` is that of the index
+    and doesn't bound `hamming`."""
     if radius > 15:
         raise ValueError("eight blocks within one bit each guarantee a radius of 15 at most")
     grams = written(item_grams(benchmark), "items")
     n_items = F.lit(grams.select("item_id").distinct().count()).cast("double")
     idf = grams.groupBy("gram").agg(F.count_distinct("item_id").alias("df"))
-    idf = idf.select("gram", F.log1p(n_items / F.col("df")).alias("idf"))
+    idf = idf.select("gram", "df", F.log1p(n_items / F.col("df")).alias("idf"))
     rarest = F.log1p(n_items)
 
     longest = grams.agg(F.max("item_words")).first()[0] or N
@@ -156,22 +173,25 @@ def contaminated_windows(
     item_prints = _fingerprints(item_weights, ["item_id", "item_words"])
     index = item_prints.withColumn("b", F.explode(_blocks(F.col("simhash"), True)))
     probes = prints.withColumn("b", F.explode(_blocks(F.col("simhash"), False)))
-    found = probes.alias("w").join(
+    distance = F.bit_count(F.col("w.simhash").bitwiseXOR(F.col("i.simhash")))
+    near = probes.alias("w").join(
         index.alias("i"),
         (F.col("w.n_words") == F.col("i.item_words"))
         & (F.col("w.b.block") == F.col("i.b.block"))
         & (F.col("w.b.value") == F.col("i.b.value"))
-        & (F.bit_count(F.col("w.simhash").bitwiseXOR(F.col("i.simhash"))) <= radius),
+        & (distance <= radius),
     )
-    pairs = found.select(
-        "w.shape", "i.item_id", F.bit_count(F.col("w.simhash").bitwiseXOR(F.col("i.simhash"))).alias("hamming")
-    ).distinct()
+    prefixes = _prefixes(item_weights, similarity)
+    shared = weighted.alias("w").join(
+        prefixes.alias("p"), (F.col("w.gram") == F.col("p.gram")) & (F.col("w.n_words") == F.col("p.item_words"))
+    )
+    pairs = near.select("w.shape", "i.item_id").union(shared.select("w.shape", "p.item_id")).distinct()
     # exact similarity: the lesser weights by a join on grams, the greater from the totals
     lesser = (
         pairs.join(weighted.select("shape", "gram", F.col("weight").alias("w")), "shape")
         .join(item_weights.select("item_id", "gram", F.col("weight").alias("v")), ["item_id", "gram"])
         .groupBy("shape", "item_id")
-        .agg(F.first("hamming").alias("hamming"), F.sum(F.least("w", "v")).alias("lesser"))
+        .agg(F.sum(F.least("w", "v")).alias("lesser"))
     )
     whole_w = weighted.groupBy("shape").agg(F.sum("weight").alias("all_w"))
     whole_v = item_weights.groupBy("item_id").agg(F.sum("weight").alias("all_v"))
@@ -180,7 +200,12 @@ def contaminated_windows(
         .join(whole_v, "item_id")
         .withColumn("similarity", F.round(F.col("lesser") / (F.col("all_w") + F.col("all_v") - F.col("lesser")), 9))
         .filter(F.col("similarity") >= similarity)
-        .select("shape", "item_id", "hamming", "similarity")
+    )
+    close = (
+        close.alias("c")
+        .join(prints.alias("w"), F.col("c.shape") == F.col("w.shape"))
+        .join(item_prints.alias("i"), F.col("c.item_id") == F.col("i.item_id"))
+        .select("c.shape", "c.item_id", distance.alias("hamming"), "c.similarity")
     )
     matched = shapes.select("doc_id", "start", "n_words", "shape").join(close, "shape")
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))

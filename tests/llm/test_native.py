@@ -261,6 +261,31 @@ def test_decontamination(spark, documents, monkeypatch, inline):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
 
 
+def test_decontamination_of_edited_passages(spark, documents):
+    """Passages with one or two words substituted, with similarities around the threshold."""
+    rng = random.Random(17)
+    items = [text(rng, rng.randint(15, 59)) for _ in range(60)]
+    valid = [t.split() for t in items]
+    rows, want = [], {}
+    while len(want) < 900:
+        item = rng.choice(range(60))
+        words = list(valid[item])
+        for at in rng.sample(range(len(words)), rng.randint(1, 2)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        similarity = round(plain_similarity(words, valid[item], valid), 9)
+        if 0.75 <= similarity < 0.85:
+            if similarity >= 0.8:
+                want[len(rows), item] = similarity
+            rows.append((len(rows), " ".join(words)))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.contaminated_windows(documents(rows), benchmark).collect()
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}
+    assert len(rows) > len(want) and max(r["hamming"] for r in got) > decontam.RADIUS
+    assert found.keys() == want.keys()
+    for pair, similarity in want.items():
+        assert found[pair] == pytest.approx(similarity, abs=1e-8)
+
+
 def test_decontamination_of_nothing(spark, documents):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated_windows(documents([(1, "a b c d e f")]), empty).count() == 0
