@@ -12,9 +12,10 @@ of lesser weights over sum of greater weights, a 5-gram weighing its count times
 have it).
 
 Words are lower-cased. Defined cases: null and empty texts match nothing; items of fewer than five
-words are ordinary phrases and match nothing; equal items each match; repeated rows of documents count
-once for each doc_id and window; an empty benchmark matches nothing; columns besides doc_id, item_id
-and text don't enter.
+words are ordinary phrases and match nothing; equal items each match; rows of the benchmark are told
+apart by item_id and text, a null item_id being one like any other, and equal rows count once; repeated
+rows of documents count once for each doc_id and window; an empty benchmark matches nothing; columns
+besides doc_id, item_id and text don't enter.
 """
 
 from __future__ import annotations
@@ -56,9 +57,17 @@ def _grams(words: Column) -> Column:
 
 
 def item_grams(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_words, at, gram: every 5-gram of every item."""
+    """item, item_id, item_words, at, gram: every 5-gram of every item.
+
+    `item` is a key that is never null, a hash of id and text; rows that agree in both count once.
+    """
+    told = F.col("item_id").cast("string")
+    name = F.coalesce(F.concat(F.length(told).cast("string"), F.lit(":"), told), F.lit("-"))
+    keyed = benchmark.select(F.md5(F.concat(name, F.lit(":"), F.coalesce("text", F.lit("")))).alias("item"), "item_id", "text")
     words = words_of(F.col("text"))
-    return benchmark.select("item_id", F.size(words).alias("item_words"), F.posexplode(_with(words, _grams)).alias("at", "gram"))
+    return keyed.dropDuplicates(["item"]).select(
+        "item", "item_id", F.size(words).alias("item_words"), F.posexplode(_with(words, _grams)).alias("at", "gram")
+    )
 
 
 def _hit(words: Column, at: Column, longest: int) -> Column:
@@ -121,16 +130,16 @@ def _blocks(simhash: Column, near: bool) -> Column:
 
 
 def _prefixes(item_weights: DataFrame, similarity: float) -> DataFrame:
-    """item_id, item_words, gram: each item's heaviest grams, just more than 1 - similarity of its weight.
+    """item, item_words, gram: each item's heaviest grams, just more than 1 - similarity of its weight.
 
     The sum of greater weights is the item's weight at least, so a window without any of these grams is
     below the similarity; the margin is far above what rounding to 9 digits gives away.
     """
-    heaviest = Window.partitionBy("item_id", "item_words").orderBy(F.col("df"), F.col("weight").desc(), "gram")
+    heaviest = Window.partitionBy("item", "item_words").orderBy(F.col("df"), F.col("weight").desc(), "gram")
     before = F.coalesce(F.sum("weight").over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    whole = F.sum("weight").over(Window.partitionBy("item_id", "item_words"))
+    whole = F.sum("weight").over(Window.partitionBy("item", "item_words"))
     kept = item_weights.withColumn("before", before).withColumn("whole", whole)
-    return kept.filter(F.col("before") <= (1 - similarity + 1e-6) * F.col("whole")).select("item_id", "item_words", "gram")
+    return kept.filter(F.col("before") <= (1 - similarity + 1e-6) * F.col("whole")).select("item", "item_words", "gram")
 
 
 def contaminated_windows(
@@ -142,8 +151,8 @@ def contaminated_windows(
     if radius > 15:
         raise ValueError("eight blocks within one bit each guarantee a radius of 15 at most")
     grams = written(item_grams(benchmark), "items")
-    n_items = F.lit(grams.select("item_id").distinct().count()).cast("double")
-    idf = grams.groupBy("gram").agg(F.count_distinct("item_id").alias("df"))
+    n_items = F.lit(grams.select("item").distinct().count()).cast("double")
+    idf = grams.groupBy("gram").agg(F.count_distinct("item").alias("df"))
     idf = idf.select("gram", "df", F.log1p(n_items / F.col("df")).alias("idf"))
     rarest = F.log1p(n_items)
 
@@ -165,12 +174,12 @@ def contaminated_windows(
     contents = shapes.groupBy("shape").agg(F.first("grams").alias("grams"), F.first("n_words").alias("n_words"))
     counted = contents.select("shape", "n_words", F.explode("grams").alias("gram")).groupBy("shape", "n_words", "gram").agg(F.count("*").alias("tf"))
     weighted = counted.join(idf, "gram", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", rarest))
-    item_weights = grams.groupBy("item_id", "item_words", "gram").agg(F.count("*").alias("tf")).join(idf, "gram")
+    item_weights = grams.groupBy("item", "item_words", "gram").agg(F.count("*").alias("tf")).join(idf, "gram")
     item_weights = written(item_weights.withColumn("weight", F.col("tf") * F.col("idf")), "item-weights")
     weighted = written(weighted, "window-weights")
 
     prints = _fingerprints(weighted, ["shape", "n_words"])
-    item_prints = _fingerprints(item_weights, ["item_id", "item_words"])
+    item_prints = _fingerprints(item_weights, ["item", "item_words"])
     index = item_prints.withColumn("b", F.explode(_blocks(F.col("simhash"), True)))
     probes = prints.withColumn("b", F.explode(_blocks(F.col("simhash"), False)))
     distance = F.bit_count(F.col("w.simhash").bitwiseXOR(F.col("i.simhash")))
@@ -185,31 +194,33 @@ def contaminated_windows(
     shared = weighted.alias("w").join(
         prefixes.alias("p"), (F.col("w.gram") == F.col("p.gram")) & (F.col("w.n_words") == F.col("p.item_words"))
     )
-    pairs = near.select("w.shape", "i.item_id").union(shared.select("w.shape", "p.item_id")).distinct()
+    pairs = near.select("w.shape", "i.item").union(shared.select("w.shape", "p.item")).distinct()
     # exact similarity: the lesser weights by a join on grams, the greater from the totals
     lesser = (
         pairs.join(weighted.select("shape", "gram", F.col("weight").alias("w")), "shape")
-        .join(item_weights.select("item_id", "gram", F.col("weight").alias("v")), ["item_id", "gram"])
-        .groupBy("shape", "item_id")
+        .join(item_weights.select("item", "gram", F.col("weight").alias("v")), ["item", "gram"])
+        .groupBy("shape", "item")
         .agg(F.sum(F.least("w", "v")).alias("lesser"))
     )
     whole_w = weighted.groupBy("shape").agg(F.sum("weight").alias("all_w"))
-    whole_v = item_weights.groupBy("item_id").agg(F.sum("weight").alias("all_v"))
+    whole_v = item_weights.groupBy("item").agg(F.sum("weight").alias("all_v"))
     close = (
         lesser.join(whole_w, "shape")
-        .join(whole_v, "item_id")
+        .join(whole_v, "item")
         .withColumn("similarity", F.round(F.col("lesser") / (F.col("all_w") + F.col("all_v") - F.col("lesser")), 9))
         .filter(F.col("similarity") >= similarity)
     )
     close = (
         close.alias("c")
         .join(prints.alias("w"), F.col("c.shape") == F.col("w.shape"))
-        .join(item_prints.alias("i"), F.col("c.item_id") == F.col("i.item_id"))
-        .select("c.shape", "c.item_id", distance.alias("hamming"), "c.similarity")
+        .join(item_prints.alias("i"), F.col("c.item") == F.col("i.item"))
+        .select("c.shape", "c.item", distance.alias("hamming"), "c.similarity")
     )
-    matched = shapes.select("doc_id", "start", "n_words", "shape").join(close, "shape")
+    names = bounded(grams.select("item", "item_id").distinct(), 1_000_000)
+    matched = shapes.select("doc_id", "start", "n_words", "shape").join(close, "shape").join(names, "item")
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
-    return matched.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    found = matched.groupBy("doc_id", "item").agg(F.first("item_id").alias("item_id"), best.alias("best"))
+    return found.select("doc_id", "item_id", "best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -286,6 +286,21 @@ def test_decontamination_of_edited_passages(spark, documents):
         assert found[pair] == pytest.approx(similarity, abs=1e-8)
 
 
+def test_decontamination_with_null_and_repeated_items(spark, documents):
+    rng = random.Random(23)
+    a, b, c, d = (text(rng, n) for n in (20, 20, 30, 25))
+    items = [(None, a), (None, b), (1, c), (2, d), (2, d), (3, c)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{text(rng, 7)} {t} {text(rng, 9)}") for i, t in enumerate([a, b, c, d])] + [(9, text(rng, 60)), (None, a)]
+    got = decontam.contaminated_windows(documents(rows), benchmark).collect()
+    found = sorted((str(r["doc_id"]), str(r["item_id"]), r["n_words"], r["similarity"]) for r in got)
+    assert found == [
+        ("0", "None", 20, 1.0), ("1", "None", 20, 1.0), ("2", "1", 30, 1.0), ("2", "3", 30, 1.0), ("3", "2", 25, 1.0), ("None", "None", 20, 1.0)
+    ]
+    kept = decontam.decontaminate(documents(rows), benchmark)
+    assert [r["doc_id"] for r in kept.select("doc_id").collect()] == [9]
+
+
 def test_decontamination_of_nothing(spark, documents):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated_windows(documents([(1, "a b c d e f")]), empty).count() == 0
