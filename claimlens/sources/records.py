@@ -222,8 +222,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_number (from 1, blank lines counted) and raw of every line that isn't blank.
 
-    One file is read whole, since only that keeps line numbers; for record sets beyond one task use
-    `number_lines` over a table of lines.
+    One file is read whole, since only that keeps line numbers; record sets beyond one task are given as
+    a table of (line_number, raw) to `checked_lines`.
     """
     whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("at", "raw"))

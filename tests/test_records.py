@@ -2,6 +2,7 @@
 
 import copy
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,8 @@ def test_plan_and_marginals(spark, tmp_path):
     (tmp_path / "plan.json").write_text(json.dumps(plan | {"fixture_kind": "x"}))
     with pytest.raises(ValueError, match="kind"):
         records.read_mask_plan(spark, str(tmp_path / "plan.json"))
+
+
+def test_read_lines_names_what_exists():
+    named = re.findall(r"`(\w+)`", records.read_lines.__doc__)
+    assert named and all(hasattr(records, n) for n in named)
