@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, looked up by Hamming blocks.
 
-A word 5-gram that a document shares with an item anchors a window of the item's length, laid so that
-the shared words match. A window without any shared 5-gram has similarity 0 to every item, so it needs
-no fingerprint. Windows and items get a 64-bit SimHash over their weighted 5-grams. The items'
+Every start of an item-sized window counts, also those between the places at which words of an item
+line up, as an insertion makes them. A window that can reach the similarity holds 5-grams of the item
+that weigh at least that share of the item, so starts are found by a running sum over the places of
+shared 5-grams: where it stays below the bound, no window can match and none is fingerprinted. All
+others get a 64-bit SimHash over their weighted 5-grams, as the items do. The items'
 fingerprints are indexed by 8 blocks of 8 bits, each with all values within one bit: by the pigeonhole
 principle every fingerprint within 15 bits agrees with some indexed block, so none is missed. No radius
 is exact for a similarity, since edited passages near 0.8 lie up to 20 bits off and more; so pairs are also
@@ -11,11 +13,12 @@ until they weigh more than the item can lack. Either way pairs are held to exact
 of lesser weights over sum of greater weights, a 5-gram weighing its count times ln(1 + items / items that
 have it).
 
-Words are lower-cased. Defined cases: null and empty texts match nothing; items of fewer than five
+Words are lower-cased. Defined cases: null and empty texts match nothing; a text shorter than an item
+is one window; items of fewer than five
 words are ordinary phrases and match nothing; equal items each match; rows of the benchmark are told
 apart by item_id and text, a null item_id being one like any other, and equal rows count once; repeated
-rows of documents count once for each doc_id and window; an empty benchmark matches nothing; columns
-besides doc_id, item_id and text don't enter.
+rows of documents count once for each doc_id and window, rows that share a doc_id are one document;
+an empty benchmark matches nothing; columns besides doc_id, item_id and text don't enter.
 """
 
 from __future__ import annotations
@@ -70,38 +73,51 @@ def item_grams(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _hit(words: Column, at: Column, longest: int) -> Column:
-    """A hit with the words around it that a window over it can have."""
-    low = F.greatest(F.lit(0), at - longest)
-    return F.struct(
-        at.alias("hit"),
-        low.alias("low"),
-        F.size(words).alias("doc_words"),
-        _gram(words, at).alias("gram"),
-        F.slice(words, low + 1, F.lit(2 * longest)).alias("around"),
-    )
-
-
-def _hits(docs: DataFrame, grams: DataFrame, longest: int) -> DataFrame:
-    """doc_id, hit, low, doc_words, gram, around: the places at which a document has some item's 5-gram."""
+def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """row, doc_id, words, hits (array of places and 5-grams): the rows with some item's 5-gram, numbered."""
     known = grams.select("gram").distinct()
     some = known.limit(INLINE_GRAMS + 1).collect()
     words = words_of(F.col("text"))
+    place = lambda w, i: F.struct(i.alias("at"), _gram(w, i).alias("gram"))
     if len(some) <= INLINE_GRAMS:
         values = [r["gram"] for r in some] or [0]
-        found = _with(
-            words,
-            lambda w: F.transform(F.filter(_starts(w), lambda i: _gram(w, i).isin(values)), lambda i: _hit(w, i, longest)),
-        )
-        return docs.select("doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
-    # a large benchmark: the grams meet in a shuffled join, and only documents with a hit are read again
-    place = ["doc_id", F.xxhash64("text").alias("doc_hash")]
-    spread = docs.select(*place, F.posexplode(_with(words, _grams)).alias("at", "gram"))
-    places = spread.join(known, "gram").groupBy("doc_id", "doc_hash").agg(F.collect_set("at").alias("hits"))
-    key = [F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("k.doc_hash") == F.col("f.doc_hash")]
-    both = docs.select(*place, "text").alias("k").join(places.alias("f"), key)
-    found = _with(words_of(F.col("k.text")), lambda w: F.transform(F.col("f.hits"), lambda i: _hit(w, i, longest)))
-    return both.select("k.doc_id", F.explode(found).alias("h")).select("doc_id", "h.*")
+        found = _with(words, lambda w: F.transform(F.filter(_starts(w), lambda i: _gram(w, i).isin(values)), lambda i: place(w, i)))
+        hit = docs.select("doc_id", "text", found.alias("hits")).filter(F.size("hits") > 0)
+        hit = hit.select("doc_id", words.alias("words"), "hits")
+    else:
+        # a large benchmark: the grams meet in a shuffled join, and only documents with a hit are read again
+        key = ["doc_id", F.xxhash64("text").alias("doc_hash")]
+        spread = docs.select(*key, F.posexplode(_with(words, _grams)).alias("at", "gram"))
+        at = F.collect_set(F.struct("at", "gram")).alias("hits")
+        places = written(spread.join(known, "gram").groupBy("doc_id", "doc_hash").agg(at), "places")
+        same = [F.col("k.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("k.doc_hash") == F.col("f.doc_hash")]
+        both = docs.select(*key, "text").alias("k").join(bounded(places).alias("f"), same)
+        hit = both.select("k.doc_id", words_of(F.col("k.text")).alias("words"), "f.hits")
+    return written(hit.withColumn("row", F.monotonically_increasing_id()), "hits")
+
+
+def _windows(hits: DataFrame, item_weights: DataFrame, similarity: float) -> DataFrame:
+    """row, n_words, start of every window of an item's length whose 5-grams of that item weigh enough.
+
+    The lesser weights of a window and an item are at most what the window's places with a 5-gram of the
+    item weigh, and the greater ones at least what the item weighs. That weight changes only where a place
+    enters or leaves the window, so it is a running sum over two events a place.
+    """
+    whole = item_weights.groupBy("item").agg(F.sum("weight").alias("whole"))
+    wanted = item_weights.select("item", "item_words", "gram", "idf").join(whole, "item")
+    places = hits.select("row", F.size("words").alias("doc_words"), F.explode("hits").alias("h"))
+    marks = places.select("row", "doc_words", "h.at", "h.gram").join(bounded(wanted), "gram")
+    enters = F.struct(F.greatest(F.lit(0), F.col("at") - (F.col("item_words") - N)).alias("start"), F.col("idf").alias("change"))
+    leaves = F.struct((F.col("at") + 1).alias("start"), (-F.col("idf")).alias("change"))
+    key = ["row", "item", "item_words", "doc_words", "whole"]
+    events = marks.select(*key, F.explode(F.array(enters, leaves)).alias("e")).groupBy(*key, "e.start").agg(F.sum("e.change").alias("change"))
+    along = Window.partitionBy("row", "item").orderBy("start")
+    last = F.least(F.lead("start").over(along) - 1, F.greatest(F.lit(0), F.col("doc_words") - F.col("item_words")))
+    level = F.sum("change").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    spans = events.withColumn("last", last).withColumn("level", level)
+    # the margin is far above what rounding to 9 digits and the running sum give away
+    able = spans.filter(F.col("level") >= (similarity - 1e-6) * F.col("whole")).filter("start <= last")
+    return able.select("row", F.col("item_words").alias("n_words"), F.explode(F.sequence("start", "last")).alias("start")).distinct()
 
 
 def _fingerprints(weighted: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,28 +171,19 @@ def contaminated_windows(
     idf = grams.groupBy("gram").agg(F.count_distinct("item").alias("df"))
     idf = idf.select("gram", "df", F.log1p(n_items / F.col("df")).alias("idf"))
     rarest = F.log1p(n_items)
+    item_weights = grams.groupBy("item", "item_words", "gram").agg(F.count("*").alias("tf")).join(idf, "gram")
+    item_weights = written(item_weights.withColumn("weight", F.col("tf") * F.col("idf")), "item-weights")
 
-    longest = grams.agg(F.max("item_words")).first()[0] or N
-    hit = _hits(docs, grams, longest)
-    # lay a window for every place at which an item has the shared gram; a gram may stand in many items
-    start = F.greatest(F.lit(0), F.least(F.col("hit") - F.col("at"), F.col("doc_words") - F.col("item_words")))
-    laid = (
-        hit.join(grams, "gram")
-        .withColumn("start", start)
-        .withColumn("window", F.slice("around", F.col("start") - F.col("low") + 1, F.col("item_words")))
-        .groupBy("doc_id", F.col("item_words").alias("n_words"), "start", F.array_join("window", " ").alias("text"))
-        .agg(F.first("window").alias("words"))
-        .drop("text")
-    )
-    windows = written(laid, "windows").withColumn("grams", _grams(F.col("words")))
+    hits = _hits(docs, grams)
+    laid = _windows(hits, item_weights, similarity).join(hits.select("row", "doc_id", "words"), "row")
+    cut = F.slice("words", F.col("start") + 1, F.col("n_words"))
+    shape = F.md5(F.concat_ws(" ", F.col("n_words").cast("string"), cut))
+    windows = written(laid.select("doc_id", "start", "n_words", shape.alias("shape"), _with(cut, _grams).alias("grams")), "windows")
     # equal windows of many documents are fingerprinted and verified once
-    shapes = windows.withColumn("shape", F.struct("n_words", F.sha2(F.array_join("words", " "), 256)))
-    contents = shapes.groupBy("shape").agg(F.first("grams").alias("grams"), F.first("n_words").alias("n_words"))
+    contents = windows.groupBy("shape", "n_words").agg(F.first("grams").alias("grams"))
     counted = contents.select("shape", "n_words", F.explode("grams").alias("gram")).groupBy("shape", "n_words", "gram").agg(F.count("*").alias("tf"))
     weighted = counted.join(idf, "gram", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", rarest))
-    item_weights = grams.groupBy("item", "item_words", "gram").agg(F.count("*").alias("tf")).join(idf, "gram")
-    item_weights = written(item_weights.withColumn("weight", F.col("tf") * F.col("idf")), "item-weights")
-    weighted = written(weighted, "window-weights")
+    weighted = written(weighted.select("shape", "n_words", "gram", "weight"), "window-weights")
 
     prints = _fingerprints(weighted, ["shape", "n_words"])
     item_prints = _fingerprints(item_weights, ["item", "item_words"])
@@ -216,8 +223,9 @@ def contaminated_windows(
         .join(item_prints.alias("i"), F.col("c.item") == F.col("i.item"))
         .select("c.shape", "c.item", distance.alias("hamming"), "c.similarity")
     )
-    names = bounded(grams.select("item", "item_id").distinct(), 1_000_000)
-    matched = shapes.select("doc_id", "start", "n_words", "shape").join(close, "shape").join(names, "item")
+    names = bounded(grams.select("item", "item_id").distinct())
+    # one window may stand in very many documents; the matches of windows are far fewer than those
+    matched = windows.select("doc_id", "start", "n_words", "shape").join(bounded(written(close, "matches")), "shape").join(names, "item")
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     found = matched.groupBy("doc_id", "item").agg(F.first("item_id").alias("item_id"), best.alias("best"))
     return found.select("doc_id", "item_id", "best.*")
@@ -228,4 +236,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     like any other."""
     bad = written(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
     same = F.col("d.doc_id").eqNullSafe(F.col("b.bad_id"))
-    return docs.alias("d").join(bounded(bad, 1_000_000).alias("b"), same, "left_anti")
+    return docs.alias("d").join(bounded(bad).alias("b"), same, "left_anti")

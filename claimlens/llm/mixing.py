@@ -197,7 +197,7 @@ def mixed_documents(
     repeated = not laid.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeated:
         same = same & (source_key(F.col("d.source")) == F.col("w.skey")) & (word_count(F.col("d.text")) == F.col("w.mixed_size"))
-    joined = docs.alias("d").join(bounded(wanted, 1_000_000).alias("w"), same)
+    joined = docs.alias("d").join(bounded(wanted).alias("w"), same)
     dealt_rows = joined.select(row.alias("row"), "w.mixed_id", "w.skey", "w.mixed_size", "w.copies", "w.alike")
     if repeated:
         # rows alike in id, source and size share their copies; only those are put in an order

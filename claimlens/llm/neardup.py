@@ -38,8 +38,6 @@ BAND_ROWS = 3
 SHINGLE = 5
 PERCENT = 80
 _SEED = 20_240_917
-#: Ids up to which a filter on documents is broadcast instead of shuffled.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +203,7 @@ def near_duplicates(
         rest = _untested(_prefix_pairs(left, docs, shingle, percent), tested, percent)
         found = found.union(_verified(rest, docs, shingle, percent))
     root = components(found)
-    linked = rows.join(bounded(root, BROADCAST_IDS), F.col("doc_id") == F.col("node"), "left")
+    linked = rows.join(bounded(root), F.col("doc_id") == F.col("node"), "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return linked.withColumn("component_id", own).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
@@ -230,7 +228,7 @@ def _prefix_pairs(open_docs: DataFrame, docs: DataFrame, shingle: int, percent:
     """
     part = f"{percent} / 100D"
     ids = open_docs.select(F.col("doc").alias("doc_id"), "root")
-    texts = docs.select("doc_id", "text").join(bounded(ids, BROADCAST_IDS), "doc_id")
+    texts = docs.select("doc_id", "text").join(bounded(ids), "doc_id")
     sets = full_sets(texts, shingle, ["root"]).withColumn("n", F.size("shingles")).withColumn("set_id", F.xxhash64("shingles"))
     tokens = written(sets.select("doc_id", "root", "set_id", "n", F.explode("shingles").alias("s")), "tokens")
     often = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -258,7 +256,7 @@ def _untested(pairs: DataFrame, tested: DataFrame | None, percent: int) -> DataF
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    members = docs.select("doc_id", "text").join(bounded(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    members = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
     sets = written(full_sets(members, shingle), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
@@ -286,4 +284,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     the smallest doc_id."""
     gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = written(gone, "gone")
-    return docs.alias("d").join(bounded(gone, BROADCAST_IDS).alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")
+    return docs.alias("d").join(bounded(gone).alias("g"), F.col("d.doc_id") == F.col("g.gone_id"), "left_anti")

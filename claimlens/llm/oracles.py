@@ -104,7 +104,8 @@ ig as (select item_id, len(w) as m, unnest(range(len(w) - 4)) as o, unnest(list_
 idf as (select g, ln(1 + (select count(distinct item_id) from ig) / count(distinct item_id)) as idf from ig group by g),
 dw as (select doc_id, regexp_extract_all(lower(text), '{_RE}') as w from documents),
 dg as (select doc_id, len(w) as n, unnest(range(len(w) - 4)) as p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from dw where len(w) >= 5),
-win as (select distinct doc_id, item_id, m, greatest(0, least(p - o, n - m)) as st from dg join ig using (g)),
+met as (select distinct doc_id, item_id, m, n from dg join ig using (g)),
+win as (select doc_id, item_id, m, unnest(range(greatest(n - m, 0) + 1)) as st from met),
 wg as (select doc_id, item_id, st, m, g, count(*) as tf from win join dg using (doc_id) where p between st and st + m - 5 group by all),
 ww as (select wg.*, tf * coalesce(idf, ln(1 + (select count(distinct item_id) from ig)::double)) as x from wg left join idf using (g)),
 iv as (select item_id, g, count(*) * any_value(idf) as v from ig join idf using (g) group by all),

@@ -217,12 +217,34 @@ def grams(words):
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
 
 
-def plain_similarity(window, item, items):
+def similarity_to(items):
+    """similarity(window, item) by the weights of `items`, all as lists of words."""
     df = collections.Counter(g for it in items for g in set(grams(it)))
-    weigh = lambda ws: {g: n * math.log1p(len(items) / max(df[g], 1)) for g, n in collections.Counter(grams(ws)).items()}
-    a, b = weigh(window), weigh(item)
-    least = sum(min(a.get(g, 0), b.get(g, 0)) for g in a.keys() | b.keys())
-    return least / (sum(a.values()) + sum(b.values()) - least) if a and b else 0
+    weights = {}
+
+    def weigh(words):
+        key = tuple(words)
+        if key not in weights:
+            weights[key] = {g: n * math.log1p(len(items) / max(df[g], 1)) for g, n in collections.Counter(grams(words)).items()}
+        return weights[key]
+
+    def similarity(window, item):
+        a, b = weigh(window), weigh(item)
+        least = sum(min(x, b[g]) for g, x in a.items() if g in b)
+        return least / (sum(a.values()) + sum(b.values()) - least) if a and b else 0
+
+    return similarity
+
+
+def best_windows(words, items, similarity):
+    """item -> (greatest similarity, its first start) over all windows, where that is 0.8 or more."""
+    own, found = set(grams(words)), {}
+    for i, item in enumerate(items):
+        if own & set(grams(item)):
+            each = [(round(similarity(words[s : s + len(item)], item), 9), -s) for s in range(max(1, len(words) - len(item) + 1))]
+            if max(each)[0] >= 0.8:
+                found[i] = max(each)[0], -max(each)[1]
+    return found
 
 
 @pytest.mark.parametrize("inline", [True, False])
@@ -242,16 +264,8 @@ def test_decontamination(spark, documents, monkeypatch, inline):
     rows += [(300 + i, items[0]) for i in range(50)] + [(400, items[6])]
     got = decontam.contaminated_windows(documents(rows), benchmark).collect()
     split = [t.split() for t in items]
-    valid = [w for w in split if len(w) >= 5]
-    want = {}
-    for d, t in rows:
-        words = WORD.findall((t or "").lower())
-        for i, item in enumerate(split):
-            if len(item) < 5:
-                continue
-            best = max((plain_similarity(words[s : s + len(item)], item, valid) for s in range(max(1, len(words) - len(item) + 1))), default=0)
-            if best >= 0.8:
-                want[d, i] = best
+    similarity_of = similarity_to([w for w in split if len(w) >= 5])
+    want = {(d, i): x for d, t in rows for i, (x, _) in best_windows(WORD.findall((t or "").lower()), split, similarity_of).items()}
     found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}
     assert found.keys() == want.keys() and {(300, 0), (100, 4 - 4), (102, 2), (102, 3), (400, 6)} <= found.keys()
     for pair, similarity in want.items():
@@ -266,13 +280,14 @@ def test_decontamination_of_edited_passages(spark, documents):
     rng = random.Random(17)
     items = [text(rng, rng.randint(15, 59)) for _ in range(60)]
     valid = [t.split() for t in items]
+    similarity_of = similarity_to(valid)
     rows, want = [], {}
     while len(want) < 900:
         item = rng.choice(range(60))
         words = list(valid[item])
         for at in rng.sample(range(len(words)), rng.randint(1, 2)):
             words[at] = f"new{rng.randrange(10**6)}"
-        similarity = round(plain_similarity(words, valid[item], valid), 9)
+        similarity = round(similarity_of(words, valid[item]), 9)
         if 0.75 <= similarity < 0.85:
             if similarity >= 0.8:
                 want[len(rows), item] = similarity
@@ -286,6 +301,48 @@ def test_decontamination_of_edited_passages(spark, documents):
         assert found[pair] == pytest.approx(similarity, abs=1e-8)
 
 
+def test_decontamination_of_passages_with_insertions(spark, documents):
+    """Words inserted or left out put the best window between the places where the item's words line up."""
+    rng = random.Random(29)
+    # 40 items of 52 words that share their first and last five: two inserted words leave 0.8019 at best,
+    # and 0.7864 at the two places where the item's words line up
+    head, tail = text(rng, 5, 10**6), text(rng, 5, 10**6)
+    items = [f"{head} {text(rng, 42, 10**6)} {tail}" for _ in range(40)]
+    valid = [t.split() for t in items]
+    similarity_of = similarity_to(valid)
+    inserted = [*valid[0][:26], "two", "more", *valid[0][26:]]
+    assert [round(similarity_of(inserted[s : s + 52], valid[0]), 4) for s in range(3)] == [0.7864, 0.8019, 0.7864]
+    rows = [(0, " ".join(inserted))]
+    for d in range(1, 300):
+        words = list(valid[rng.randrange(40)])
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 0, 1, 2])] = [f"new{rng.randrange(10**6)}" for _ in range(rng.randint(0, 4))]
+        around = [text(rng, rng.choice([0, 3, 20])) for _ in range(2)]
+        rows.append((d, f"{around[0]} {' '.join(words)} {around[1]} {items[5] if d % 50 == 0 else ''}"))
+    want = {(d, i): found for d, t in rows for i, found in best_windows(t.split(), valid, similarity_of).items()}
+    assert want[0, 0] == (pytest.approx(0.8019, abs=1e-4), 1)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.contaminated_windows(documents(rows), benchmark).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in got}
+    assert found.keys() == want.keys()
+    for pair, (similarity, start) in want.items():
+        assert found[pair] == (pytest.approx(similarity, abs=1e-8), start)
+    assert 0 not in {r["doc_id"] for r in decontam.decontaminate(documents(rows), benchmark).select("doc_id").collect()}
+
+
+def test_decontamination_of_a_long_text(spark, documents):
+    """A text of over 1 MB with an item at its end, and with a phrase of an item repeated throughout."""
+    rng = random.Random(31)
+    item = text(rng, 40)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    phrase = " ".join(item.split()[:9])
+    rows = [(1, text(rng, 220_000, 60_000) + " " + item), (2, " ".join([phrase] * 12_000)), (3, text(rng, 50))]
+    assert len(rows[0][1]) > 1 << 20
+    got = decontam.contaminated_windows(documents(rows), benchmark).collect()
+    assert [(r["doc_id"], r["start"], r["similarity"]) for r in got] == [(1, 220_000, 1.0)]
+
+
 def test_decontamination_with_null_and_repeated_items(spark, documents):
     rng = random.Random(23)
     a, b, c, d = (text(rng, n) for n in (20, 20, 30, 25))
