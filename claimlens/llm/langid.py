@@ -1,32 +1,36 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of reference text: its most frequent words, from a bounded sample
-of labelled rows outside the held-out fold. A text is parsed against every language into the fewest
-greedy phrases, each the longest match that the automaton yields, or one character where none does.
-Parsing starts anew at every word (a space and its letters, lower-cased), so equal words are parsed
-once and counts over a text are sums. The language with the fewest phrases per character wins.
+Each language has a suffix automaton of labelled running text: excerpts of a bounded sample of labelled
+rows outside the held-out fold. A whole text is parsed against every language from its first character to
+its last, across words, into greedy phrases: each the longest match that the automaton yields, or
+one character where it has none. The language with the fewest phrases per character wins.
+
+Texts are lower-cased before, and every run of other characters than letters and marks becomes one space.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a tie goes to the language
 first by code point; no labelled rows at all make every text `und`; rows whose lang is null aren't
-learned from; repeated rows each get their row; other columns don't enter.
+learned from; repeated rows each get their row, and count once among the labelled rows drawn; more
+languages than MAX_LANGUAGES are refused and not cut; other columns don't enter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from claimlens.llm.shared import WORD, Words, held_out, slices, texts_of
+from claimlens.llm.shared import held_out, slices, texts_of
 
-#: Bounds of the sample: rows of each language, and words of them.
-SAMPLE_ROWS = 400
-REFERENCE_WORDS = 6_000
-MEMO_WORDS = 200_000
+#: Bounds of what is learned from: rows of each language, characters of each row, languages.
+SAMPLE_ROWS = 250
+EXCERPT_CHARS = 200
+MAX_LANGUAGES = 200
 SHARPNESS = 40.0
 
 
@@ -76,75 +80,75 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-def letters_of(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
+def plain_texts(texts: pa.Array) -> list[str]:
+    """Letters and marks in lower case, one space for all between, before and after."""
+    low = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " ")
+    return [f" {t.strip(' ')} " for t in low.to_pylist()]
 
 
 class CrossParser:
     def __init__(self, references: dict[str, str]):
         self.langs = sorted(references)
         self.automata = [SuffixAutomaton(references[lang]) for lang in self.langs]
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Characters of the word, then its phrases by language; all 0 without letters."""
-        letters = letters_of(word)
-        if not letters:
-            return (0,) * (1 + len(self.langs))
-        return (len(letters) + 1, *(a.phrases(f" {letters}") for a in self.automata))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        words = Words(texts)
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        rows = []
-        for w in words.distinct:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = self.word(w)
-            rows.append(got)
-        table = np.array(rows, np.int64).reshape(-1, 1 + len(self.langs))
-        sums = np.column_stack([words.sums(table[words.codes, k]) for k in range(1 + len(self.langs))])
-        chars = sums[:, 0]
+        """The language of each text and its score; equal texts are parsed once."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        rate = sums[:, 1:] / np.maximum(chars, 1)[:, None]
-        best = rate.argmin(axis=1)
+        encoded = texts.dictionary_encode()
+        lettered = np.asarray(pc.match_substring_regex(encoded.dictionary, r"\p{L}"))
+        plain = plain_texts(encoded.dictionary)
+        rate = np.array([[a.phrases(t) / len(t) for a in self.automata] if real else [0.0] * len(self.langs) for t, real in zip(plain, lettered, strict=True)])
+        rate = rate.reshape(-1, len(self.langs))
         likely = np.exp(-SHARPNESS * (rate - rate.min(axis=1, keepdims=True)))
-        score = np.where(chars > 0, 1 / likely.sum(axis=1), 0.0)
-        return [self.langs[b] if n else "und" for b, n in zip(best, chars, strict=True)], score
-
-
-def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, reference_words: int = REFERENCE_WORDS) -> dict[str, str]:
-    """lang -> reference text, from `sample_rows` rows of each language at most, drawn by a hash."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= sample_rows)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    # at most sample_rows ids of each language
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)))
-    counts = (
-        rows.select("lang", word.alias("word"))
-        .withColumn("word", F.regexp_replace("word", r"[^\p{L}]", ""))
-        .filter("word <> ''")
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    kept = counts.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= reference_words)
-    references: dict[str, list[tuple[int, str]]] = {}
-    for r in kept.select("lang", "word", "place").collect():
-        references.setdefault(r["lang"], []).append((r["place"], r["word"]))
-    return {lang: " " + " ".join(w for _, w in sorted(words)) + " " for lang, words in references.items()}
+        score = np.where(lettered, 1 / likely.sum(axis=1), 0.0)
+        best = [self.langs[b] if real else "und" for b, real in zip(rate.argmin(axis=1), lettered, strict=True)]
+        codes = np.asarray(encoded.indices, dtype=np.int64)
+        return [best[c] for c in codes], score[codes]
+
+
+@lru_cache(maxsize=2)
+def _parser(references: tuple[tuple[str, str], ...]) -> CrossParser:
+    """One parser for all tasks of a Python worker."""
+    return CrossParser(dict(references))
+
+
+def fit_languages(
+    docs: DataFrame, sample_rows: int = SAMPLE_ROWS, excerpt_chars: int = EXCERPT_CHARS, max_languages: int = MAX_LANGUAGES
+) -> dict[str, str]:
+    """lang -> reference text: excerpts of at most `sample_rows` rows of each language.
+
+    Rows are counted by language first; a hash of their id then draws about twice the rows wanted, which
+    meet on the driver in the order of that hash: at most about 2 * languages * sample_rows excerpts.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages to learn from them all")
+    if not sizes:
+        return {}
+    draw = F.xxhash64("doc_id")
+    steps = 1 << 40
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(steps * min(1.0, 2 * sample_rows / n)))])
+    drawn = known.withColumn("draw", draw).filter(F.pmod(draw, F.lit(steps)) < F.element_at(shares, F.col("lang")))
+    # from a place that the hash chooses, so that not only beginnings are learned from
+    room = F.greatest(F.lit(1), F.length("text") - excerpt_chars)
+    excerpt = F.substr("text", (F.pmod(F.shiftright("draw", 20), room) + 1).cast("int"), F.lit(excerpt_chars))
+    rows = drawn.withColumn("excerpt", excerpt).filter(F.col("excerpt").rlike(r"\p{L}"))
+    # rows that share an id are drawn together, so one of them stands for all
+    rows = rows.groupBy("lang", "draw").agg(F.min("excerpt").alias("excerpt")).collect()
+    chosen: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["draw"] % steps, r["draw"])):
+        chosen.setdefault(r["lang"], []).append(r["excerpt"])
+    return {lang: "".join(plain_texts(pa.array(found[:sample_rows], pa.large_string()))) for lang, found in chosen.items()}
 
 
 def predict_languages(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, from the text alone."""
+    told = tuple(sorted(references.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(references)
+        parser = _parser(told)
         for batch in batches:
             for part in slices(batch):
                 langs, score = parser.predict(texts_of(part))

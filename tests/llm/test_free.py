@@ -213,15 +213,69 @@ def test_suffix_automaton():
     rng = random.Random(4)
     for _ in range(300):
         value = "".join(rng.choices("abcdxq", k=rng.randint(0, 14)))
-        want = i = 0
-        while i < len(value):
-            j = i + 1
-            while j < len(value) and value[i : j + 1] in parts:
-                j += 1
-            want, i = want + 1, j
+        want = plain_phrases(value, parts)
         assert automaton.phrases(value) == want
 
 
+def plain_phrases(value, parts):
+    """Greedy longest matches over a set of all substrings; an unknown character is a phrase."""
+    count = i = 0
+    while i < len(value):
+        j = i + 1
+        while j < len(value) and value[i : j + 1] in parts:
+            j += 1
+        count, i = count + 1, j
+    return count
+
+
+def test_language_predictions_match_a_plain_parse(documents):
+    rng = random.Random(12)
+    references = {lang: " " + " ".join("".join(rng.choices(s, k=2)) for _ in range(25)) + " " for lang, s in SYLLABLES.items()}
+    references["ab"] = references["aa"]
+    parts = {lang: {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)} for lang, t in references.items()}
+    rows = []
+    for i in range(120):
+        words = references[rng.choice(sorted(references))].split()
+        at = rng.randrange(len(words))
+        extra = ["".join(rng.choices("abkröüxq9-", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 4))]
+        # runs of the reference as they stand, so that phrases go across words
+        rows.append((i, ", ".join(words[at : at + rng.randint(1, 8)] + extra).upper()))
+    rows += [(200, "ZZZ"), (201, "é"), (202, rows[0][1]), (202, rows[0][1]), *ODD]
+    got = collections.Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict_languages(documents(rows), references).collect())
+    want = collections.Counter()
+    for d, t in rows:
+        plain = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not plain:
+            want[d, "und", 0.0] += 1
+            continue
+        value = f" {' '.join(plain)} "
+        rate = {lang: plain_phrases(value, parts[lang]) / len(value) for lang in references}
+        best = min(sorted(rate), key=rate.get)
+        want[d, best, round(1 / sum(math.exp(-langid.SHARPNESS * (x - rate[best])) for x in rate.values()), 9)] += 1
+    assert got == want and "ab" not in {lang for _, lang, _ in got}
+
+
+def test_languages_are_bounded_and_repeats_count_once(documents):
+    docs = documents([(i, f"word number {'abcdefghij'[i % 10]}", f"l{i}") for i in range(40) if not is_held_out(i)])
+    with pytest.raises(ValueError):
+        langid.fit_languages(docs, max_languages=5)
+    rows = [(i, "eins zwei drei vier fünf", "de") for i in range(30) if not is_held_out(i)] + [(1, "eins zwei drei vier fünf", "de")] * 200
+    learned = langid.fit_languages(documents(rows))
+    assert learned["de"].count("drei") == len({d for d, *_ in rows})
+    assert len(langid.fit_languages(documents(rows), sample_rows=5, excerpt_chars=9)["de"]) <= 5 * 11
+    assert langid.fit_languages(documents([])) == {}
+    assert langid.predict_languages(documents([]), learned).count() == 0
+
+
+def test_language_of_a_long_text(documents):
+    rng = random.Random(13)
+    references = {lang: " " + " ".join("".join(rng.choices(s, k=2)) for _ in range(300)) + " " for lang, s in SYLLABLES.items()}
+    long = " ".join("".join(rng.choices(SYLLABLES["bb"], k=2)) for _ in range(190_000))
+    assert len(long) > 1 << 20
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(documents([(1, long), (2, "öl ün")]), references).collect()}
+    assert got == {1: "bb", 2: "cc"}
+
+
 SYLLABLES = {"aa": ["ba", "do", "ri", "ne"], "bb": ["kru", "sta", "zhe", "mno"], "cc": ["öl", "ün", "şe", "çi"]}
 
 
