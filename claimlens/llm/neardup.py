@@ -5,7 +5,7 @@ table keys are all pairs of a band of the first with a band of the second. That
 where m * m independent tables of six would need 6 m * m: about a square root. At similarity s both
 collections hold a matching band with probability (1 - (1 - s^3)^m)^2, for m = 11 and s = 0.8 0.9992.
 
-Documents of equal shingle sets are one class before any key is made. In each table bucket the
+Documents of equal shingle sets, told by a SHA-256 over the whole sorted set, are one class before any key is made. In each table bucket the
 class that shares most buckets with others (the hub, so that a family of copies meets its original)
 is paired with every other member: pairs grow with members, not with their square. All pairs are
 verified on full shingle sets. Linked classes are joined into components. Documents that share a bucket
@@ -22,6 +22,7 @@ is its own component; columns besides doc_id and text don't enter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from claimlens.llm.shared import Words, bounded, mix, slices, texts_of, written
+from claimlens.llm.shared import Words, bounded, discard, mix, slices, stored, texts_of, written
 
 BANDS = 11
 BAND_ROWS = 3
@@ -69,7 +70,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(keys: np.ndarray, starts: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that identify each set, and its 2 * bands band hashes; rows of empty sets are 0."""
+    """128 bits of a SHA-256 over each whole sorted set, and its 2 * bands band hashes; rows of empty sets are 0."""
     n = len(starts) - 1
     full = np.flatnonzero(np.diff(starts) > 0)
     ids, out = np.zeros((n, 2), np.uint64), np.zeros((n, 2 * bands), np.uint64)
@@ -77,9 +78,10 @@ def signatures(keys: np.ndarray, starts: np.ndarray, bands: int) -> tuple[np.nda
         return ids, out
     begin = starts[:-1][full]
     odd = np.random.default_rng(_SEED).integers(0, 1 << 63, 2 * bands * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    for d in full:
+        digest = hashlib.sha256(np.sort(keys[starts[d] : starts[d + 1]]).tobytes()).digest()
+        ids[d] = np.frombuffer(digest, np.uint64, 2)
     with np.errstate(over="ignore"):
-        ids[full, 0] = np.add.reduceat(mix(keys), begin)
-        ids[full, 1] = np.add.reduceat(mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
         for band in range(2 * bands):
             key = np.full(len(full), np.uint64(band + 1))
             for k in range(BAND_ROWS):
@@ -138,41 +140,34 @@ def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over links (a, b), for every node of some link.
 
     Each round takes the least label of the neighbours and then that label's own label, so that the
-    distance to the root halves; labels are written to the shared folder after every round.
+    distance to the root halves. A hub has very many links and a root very many nodes, so each join has a
+    written table on either side: adaptive execution can then split the partition of a hot key. A round's
+    tables are removed once the next has read them.
     """
+    spark = links.sparkSession
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = written(both, "links")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    edges, edges_at = stored(both, "links")
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    labels, labels_at = stored(first, "labels")
     while True:
         least = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("seen"))
-        lowered = labels.join(least, labels["node"] == least["a"]).select(
-            "node", F.least("root", "seen").alias("root"), F.col("root").alias("was")
+        lowered, lowered_at = stored(
+            labels.join(least, labels["node"] == least["a"]).select("node", F.least("root", "seen").alias("root"), F.col("root").alias("was")),
+            "lowered",
         )
         own = lowered.select(F.col("node").alias("at"), F.col("root").alias("further"))
         jumped = lowered.join(own, F.col("root") == F.col("at"), "left").select(
             "node", F.coalesce(F.least("root", "further"), "root").alias("root"), "was"
         )
-        now = written(jumped, "labels")
-        labels = now.select("node", "root")
+        now, now_at = stored(jumped, "labels")
+        for read in (labels_at, lowered_at):
+            discard(spark, read)
+        labels, labels_at = now.select("node", "root"), now_at
         if now.filter("root <> was").isEmpty():
+            discard(spark, edges_at)
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    whole = F.size("of_a") + F.size("of_b") - common
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * whole).select("a", "b")
-
-
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (a, b, n_a, n_b), the smaller id first, that sizes alone don't rule out."""
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS
 ) -> DataFrame:
@@ -181,17 +176,18 @@ def near_duplicates(
     real = rows.filter(F.col("n_shingles") > 0).filter(F.col("doc_id").isNotNull())
     same = ["n_shingles", "id_a", "id_b"]
     # a class of equal sets stands for its documents; the hot group of copies is one row from here on
-    classes = real.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands"))
+    classes = written(real.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "classes")
     tables = F.flatten(
         F.transform(
             F.slice("bands", 1, bands),
             lambda x, i: F.transform(F.slice(F.col("bands"), bands + 1, bands), lambda y, j: F.xxhash64(x, y, i * bands + j)),
         )
     )
-    keyed = classes.select("doc", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = keyed.withColumn("members", F.count("*").over(bucket)).filter("members > 1")
-    member = written(shared.dropDuplicates(["key", "doc"]), "buckets")
+    # a class has a key once at most, but a hot key may have very many classes: they are counted by a partial
+    # aggregate, and the join of two tables can be split where a key is hot
+    keyed = classes.select("doc", F.col("n_shingles").alias("n"), F.explode(F.array_distinct(tables)).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "keys")
+    member = written(keyed.join(shared, "key"), "buckets")
 
     classed = real.select("doc_id", *same).join(classes.select(*same, "doc"), same)
     copies = classed.filter("doc_id <> doc").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
@@ -212,10 +208,10 @@ def near_duplicates(
 def _hub_pairs(member: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): each bucket member with the bucket's hub."""
     degrees = member.groupBy("doc").agg(F.sum("members").alias("degree"))
-    hub = F.max(F.struct("degree", (-F.col("doc")).alias("minus"), "n")).over(Window.partitionBy("key"))
-    hubbed = member.join(degrees, "doc").withColumn("hub", hub)
-    b = (-F.col("hub.minus")).alias("b")
-    return hubbed.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), b, F.col("hub.n").alias("n_b")).filter("a <> b")
+    hub = F.max(F.struct("degree", (-F.col("doc")).alias("minus"), "n")).alias("hub")
+    hubs = written(member.join(degrees, "doc").groupBy("key").agg(hub).select("key", "hub.minus", F.col("hub.n").alias("n_b")), "hubs")
+    hubbed = member.join(hubs, "key")
+    return hubbed.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), (-F.col("minus")).alias("b"), "n_b").filter("a <> b")
 
 
 def _prefix_pairs(open_docs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -232,6 +228,7 @@ def _prefix_pairs(open_docs: DataFrame, docs: DataFrame, shingle: int, percent:
     sets = full_sets(texts, shingle, ["root"]).withColumn("n", F.size("shingles")).withColumn("set_id", F.xxhash64("shingles"))
     tokens = written(sets.select("doc_id", "root", "set_id", "n", F.explode("shingles").alias("s")), "tokens")
     often = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    often = written(often, "often")
     order = Window.partitionBy("doc_id", "set_id").orderBy("df", "s")
     ranked = tokens.join(often, "s").withColumn("place", F.row_number().over(order) - 1)
     first = ranked.filter(f"place <= n - ceil({part} * n) and low < high")
@@ -272,9 +269,9 @@ def _across(member: DataFrame, roots: DataFrame) -> DataFrame | None:
     Of a bucket of two the only pair has been tested.
     """
     rooted = member.drop("members").join(roots, F.col("doc") == F.col("node"), "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "doc")).drop("node")
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "doc")).drop("node"), "rooted")
     bucket = rooted.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = bucket.filter("low < high and members > 2").select("key")
+    mixed = written(bucket.filter("low < high and members > 2").select("key"), "open-keys")
     left = written(rooted.join(mixed, "key").select("doc", "root").distinct(), "open")
     return None if left.isEmpty() else left
 
