@@ -8,11 +8,13 @@ prefix of 2^h lines at least; a suffix alone in its interval repeats nowhere at
 leaves, so a round only touches what still repeats. Runs are measured in words, a line has one at
 least, so doubling ends when 2^h reaches `min_words`, however long the copies are.
 
-For any length L between powers of two the interval of the first L lines is that of the pair
-(rank of the first 2^h, rank of the last 2^h). A run of at least `min_words` words that also stands
-earlier in the corpus (by doc_id, then line) is covered exactly by its shortest qualifying pieces:
-from each line forwards and to each line backwards. The lines of all pieces whose interval holds an
-earlier member are removed, and neighbours joined into maximal runs.
+For any length L between powers of two the interval of the first L lines, that is of the suffixes whose
+longest common prefixes have L lines at least, is that of the pair (rank of the first 2^h, rank of the last
+2^h). A run of at least `min_words` words that also stands earlier in the corpus (by doc_id, then line) is
+covered exactly by its shortest qualifying pieces: from each line forwards and to each line backwards. The
+lines of all pieces whose interval holds an earlier member are removed. A run of the result is the union of
+neighbouring pieces; where documents interleave passages of several earlier ones, its pieces may have their
+first copies in different places.
 
 Defined cases: null and empty texts have no lines; rows with the same doc_id and text count once;
 rows with the same doc_id and another text are told apart by a hash of it; a run that overlaps its own
@@ -52,9 +54,13 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
-    """The lines whose ID occurs more than once, each occurrence once."""
-    lines = document_lines(docs)
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+    """The lines whose ID occurs more than once, each occurrence once.
+
+    Here and below a join has a written table on either side: a line may have a third of all rows, and
+    adaptive execution can split its partition only then.
+    """
+    lines = written(document_lines(docs), "lines")
+    often = written(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "often")
     return lines.join(often, ["a", "b"]).dropDuplicates(["doc_id", "doc_hash", "pos"])
 
 
@@ -62,7 +68,7 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """`rows` of a suffix table with `rank`, the beginning of their interval in the sorted order of
     `keys`; suffixes alone in their interval leave."""
     intervals = rows.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
-    placed = prefix_sums(intervals, keys, "members").select(*keys, F.col("offset").alias("rank"))
+    placed = written(prefix_sums(intervals, keys, "members").select(*keys, F.col("offset").alias("rank")), "placed")
     return rows.join(placed, keys)
 
 
@@ -139,9 +145,9 @@ def removed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         found = F.get(F.col("y.ranks"), F.col("x.h")).alias(name)
         return df.alias("x").join(rank_at.alias("y"), key).select("x.*", found).filter(F.col(name).isNotNull())
 
-    classed = looked_up(looked_up(both, "first", "head_rank"), "tail", "tail_rank")
+    classed = written(looked_up(looked_up(both, "first", "head_rank"), "tail", "tail_rank"), "pieces")
     place = F.struct("doc_id", "doc_hash", "first")
-    firsts = classed.groupBy("n", "head_rank", "tail_rank").agg(F.min(place).alias("origin"))
+    firsts = written(classed.groupBy("n", "head_rank", "tail_rank").agg(F.min(place).alias("origin")), "firsts")
     later = (
         classed.join(firsts, ["n", "head_rank", "tail_rank"])
         .filter(~F.col("origin").eqNullSafe(place))

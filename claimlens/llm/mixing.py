@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Every source's words lie in a fixed number of buckets, and in each bucket its documents stand end to
+Every source's words lie in buckets, as many as the rows call for, and in each bucket its documents stand end to
 end in a seeded order, cut into blocks of equal length. Blocks are apportioned to sources by highest
 quotients target / (2k + 1), then each source's blocks to its buckets in the same way by their words;
 the integer quota of a bucket takes whole passes over its line and then its first blocks. All of it
-is arithmetic on one row per (source, bucket), so the hot source costs no more than another.
+is arithmetic on one row per (source, bucket), so the hot source costs no more than another. A bucket holds
+BUCKET_ROWS rows of one source at most, about, however many the table has. The only steps in one task work on
+one row a source, and on one row a bucket of a source.
 
 Only seats near a source's exact share can be in doubt: a divisor method changes a share x by at most
 n/2 seats spread over the n parties in proportion, so all seats below x - n x / (2 X) - 2 are granted
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from claimlens.llm.shared import bounded, word_count, written
 
 REPEATS = 3
+#: Buckets of a source: at least so many, and doubled until a bucket has about so many rows at most.
 BUCKETS = 128
+BUCKET_ROWS = 65_536
 BLOCK_WORDS = 4096
 
 
@@ -94,22 +98,32 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def sized_documents(docs: DataFrame, seed: int, buckets: int = BUCKETS) -> DataFrame:
+def sized_documents(docs: DataFrame, seed: int) -> DataFrame:
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return docs.select(
         "doc_id",
         "source",
         source_key(F.col("source")).alias("skey"),
         word_count(F.col("text")).alias("size"),
-        F.substring(draw, 5, 20).alias("draw"),
-        F.pmod(F.conv(F.substring(draw, 1, 4), 16, 10).cast("int"), F.lit(buckets)).alias("bucket"),
+        F.conv(F.substring(draw, 1, 8), 16, 10).cast("long").alias("lot"),
+        F.substring(draw, 9, 20).alias("draw"),
     )
 
 
-def _laid(docs: DataFrame, seed: int, buckets: int, block_words: int) -> DataFrame:
+def bucket_count(rows: int, least: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> int:
+    """`least`, doubled until even a source with all rows has about `bucket_rows` in a bucket."""
+    buckets = least
+    while rows > buckets * bucket_rows:
+        buckets *= 2
+    return buckets
+
+
+def _laid(docs: DataFrame, seed: int, least_buckets: int, block_words: int) -> DataFrame:
     """Every row of `docs` on its bucket's line: where it starts, and the whole passes and the rest of the
     words that the bucket's quota takes."""
-    sized = written(sized_documents(docs, seed, buckets), "sized")
+    sized = written(sized_documents(docs, seed), "sized")
+    buckets = bucket_count(sized.count(), least_buckets)
+    sized = sized.withColumn("bucket", F.pmod("lot", F.lit(buckets)).cast("int")).drop("lot")
     lines = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("line"))
     sources = lines.groupBy("skey").agg(F.first("source").alias("source"), F.sum("line").alias("source_size"))
     every = Window.partitionBy(F.lit(0))

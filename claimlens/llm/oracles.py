@@ -15,7 +15,7 @@ crcs as (select rid, xor(list_reduce(list_transform(regexp_extract_all(hex(encod
 _MIXING = f"""
 with recursive sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_RE}')), 0) as size,
   md5('17|' || coalesce(doc_id::varchar, '')) as m from documents),
-drawn as (select doc_id, source, size, substr(m, 5, 20) as draw, ('0x' || substr(m, 1, 4))::bigint % 128 as bucket from sized),
+drawn as (select doc_id, source, size, substr(m, 9, 20) as draw, ('0x' || substr(m, 1, 8))::bigint % 128 as bucket from sized),
 src as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from drawn group by source),
 wsrc as (select *, (place - 1) % 3 + 1 as w, 3 * source_size as cap, sum(source_size) over () as total from src),
 ranked as (select *, row_number() over (order by cap / w, place) as turn from wsrc),
@@ -65,16 +65,12 @@ select conv_id, n_turns, sha256(told) as turns_sha256, length(loss)::bigint as l
 _LINES = f"""
 with raw as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents),
 worded as (select *, len(regexp_extract_all(line, '{_RE}')) as words from raw where regexp_matches(line, '{_RE}')),
-lines as (select *, row_number() over (partition by doc_id order by line_no) as pos,
-  sum(words) over (partition by doc_id order by line_no) as upto from worded),
-listed as (select doc_id, list(line order by pos) as l from lines group by doc_id),
-fwd as (select a.doc_id, a.pos as i, min(b.pos) as j from lines a join lines b on a.doc_id = b.doc_id and b.pos >= a.pos
-  and b.upto - a.upto + a.words >= 50 group by all),
-bwd as (select b.doc_id, max(a.pos) as i, b.pos as j from lines a join lines b on a.doc_id = b.doc_id and b.pos >= a.pos
-  and b.upto - a.upto + a.words >= 50 group by b.doc_id, b.pos),
-pieces as (select p.doc_id, i, j, array_to_string(l[i:j], chr(10)) as piece from (from fwd union from bwd) p join listed using (doc_id)),
-later as (select doc_id, i, j from (select *, row_number() over (partition by piece order by doc_id, i) as r from pieces) where r > 1),
-gone as (select distinct l.* from lines l join later p on l.doc_id = p.doc_id and l.pos between p.i and p.j),
+lines as (select *, row_number() over (partition by doc_id order by line_no) as pos from worded),
+pair as (select a.doc_id as d1, b.doc_id as d2, b.pos - a.pos as diagonal, b.pos as p, b.words from lines a join lines b
+  on a.line = b.line and (a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.pos < b.pos))),
+stretch as (select *, p - row_number() over (partition by d1, d2, diagonal order by p) as island from pair),
+later as (select d2, min(p) as i, max(p) as j from stretch group by d1, d2, diagonal, island having sum(words) >= 50),
+gone as (select distinct l.* from lines l join later on l.doc_id = d2 and l.pos between i and j),
 runs as (select *, pos - row_number() over (partition by doc_id order by pos) as run from gone)
 select doc_id, min(line_no)::int as first_line, max(line_no)::int as last_line, count(*) as n_lines, sum(words)::bigint as n_words from runs group by doc_id, run
 """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests_llm_plain import WORD, plain_targets
 
-from claimlens.llm import chat, decontam, line_dedup, mixing, sharding
+from claimlens.llm import chat, decontam, line_dedup, mixing, queries, sharding
 
 ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (None, "no id here"), (904, "same same"), (904, "same same")]
 
@@ -206,11 +206,46 @@ def test_line_dedup(documents):
     assert line_dedup.removed_runs(documents([])).count() == 0
 
 
+def test_line_dedup_of_interleaved_sources(documents):
+    """Runs whose pieces come from several documents: overlapping, adjoining and nested passages."""
+    rng = random.Random(35)
+    sources = [[text(rng, rng.randint(1, 9), 10**6) for _ in range(14)] for _ in range(6)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(sources)]
+    for d in range(100, 160):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(sources)
+            at = rng.randrange(len(own))
+            lines += own[at : at + rng.randint(1, 8)]
+            lines += [text(rng, 4, 10**6)] * rng.choice([0, 0, 1])
+        rows.append((d, "\n".join(lines)))
+    for min_words in (10, 20):
+        got = line_dedup.removed_runs(documents(rows), min_words).collect()
+        lines = {(r["doc_id"], n) for r in got for n in range(r["first_line"], r["last_line"] + 1)}
+        assert lines == plain_removed(rows, min_words)
+
+
+def test_line_dedup_of_a_long_text(documents):
+    """Over 1 MB each, with the second half of the one in the other."""
+    rng = random.Random(36)
+    lines = [text(rng, 10, 10**6) for _ in range(16_000)]
+    other = [text(rng, 10, 10**6) for _ in range(8_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(other + lines[8_000:]))]
+    assert min(len(t) for _, t in rows) > 1 << 20
+    (run,) = line_dedup.removed_runs(documents(rows)).collect()
+    assert (run["doc_id"], run["first_line"], run["last_line"], run["n_lines"]) == (2, 8_000, 15_999, 8_000)
+
+
 def test_line_dedup_cuts_later_copies(documents):
     passage = text(random.Random(6), 60)
     docs = documents([(1, f"first\n{passage}\nend"), (2, f"other\n\n{passage}\ntail"), (3, "clean words"), (4, None)])
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert out == {1: f"first\n{passage}\nend", 2: "other\n\ntail", 3: "clean words", 4: None}
+    # rows that share an id and differ in text are cut each by its own runs
+    docs = documents([(1, f"a\n{passage}"), (1, f"b\n{passage}"), (1, "c")])
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(docs).collect()) == sorted([f"a\n{passage}", "b", "c"]) or sorted(
+        r["text"] for r in line_dedup.dedup_lines(docs).collect()
+    ) == sorted(["a", f"b\n{passage}", "c"])
 
 
 def grams(words):
@@ -365,9 +400,33 @@ def test_decontamination_of_nothing(spark, documents):
     assert decontam.contaminated_windows(documents([]), one).count() == 0
 
 
-def test_native_plans_have_no_python(documents, spark):
+def test_buckets_grow_with_rows():
+    assert [mixing.bucket_count(n) for n in (0, 8_388_608, 8_388_609, 10**9)] == [128, 128, 256, 16_384]
+
+
+def test_mixing_of_a_long_text(documents):
+    rows = [(1, "word " * 250_000, None, "a"), (2, "x y", None, "b"), (3, None, None, "b")]
+    got = {r["doc_id"]: r for r in mixing.mix_sources(documents(rows)).collect()}
+    assert got[1]["size"] == 250_000 and got[2]["taken"] <= 6 and got[3]["taken"] == 0
+    assert got[1]["taken"] == pytest.approx(got[1]["target"], rel=0.01)
+
+
+def test_chat_of_nothing_and_of_long_texts(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    empty = spark.createDataFrame([], kind).withColumn("parts", chat.text_parts(F.col("text")))
+    assert chat.chat_digests(chat.format_chats(empty)).count() == 0
+    long = "<turn>\\ é" * 130_000
+    clashing = ("formatted", "spans", "turns", "seen", "begin", "head_len", "own", "attached", "written", "loss_text", "size")
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, None, None, None)], kind)
+    df = df.withColumns({c: F.lit("own") for c in clashing}).withColumn("parts", chat.text_parts(F.col("text")))
+    got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(df)).collect()}
+    told = lambda c: tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256"))
+    assert told(1) == digests([("user", long), ("assistant", long)]) and told(2) == digests([("", "")])
+
+
+def test_native_plans_have_no_python(documents, spark, sf):
     docs = documents([(1, "a b c d e f")])
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
-    for df in (mixing.mix_sources(docs), decontam.contaminated_windows(docs, benchmark)):
+    for df in (mixing.mix_sources(docs), decontam.contaminated_windows(docs, benchmark), queries.op7_chat(spark, sf)):
         plan = df._jdf.queryExecution().toString()
-        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExistingRDD", "LocalRelation", "LocalTableScan"))
