@@ -86,4 +86,5 @@ def position_statistics(p: Column, target: Column) -> Column:
 
 def close(a: Column, b: Column, rel: float = 1e-10, absolute: float = 1e-12) -> Column:
     """Whether two finite numbers agree within a relative or an absolute tolerance."""
-    return F.abs(a - b) <= F.greatest(F.lit(absolute), rel * F.greatest(F.abs(a), F.abs(b)))
+    # NaN equals itself and is the greatest number in SQL
+    return ~F.isnan(a - b) & (F.abs(a - b) <= F.greatest(F.lit(absolute), rel * F.greatest(F.abs(a), F.abs(b))))

@@ -48,15 +48,25 @@ def normalized(word: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(word, _FOLD_FROM, _FOLD_TO)), r"[^\p{L}\p{N}]", "")
 
 
+def is_maskable(word: Column) -> Column:
+    """Whether a word has a letter or digit; a longer one than punctuation always has."""
+    return (F.length(word) > 1) | (normalized(word) != "")
+
+
+def is_content(word: Column) -> Column:
+    """Whether a word is maskable and no stop word. Normalising takes away one character of a word at most (its
+    hyphen or apostrophe), so only short words are normalised."""
+    longest = 1 + max(map(len, STOPWORDS))
+    return (F.length(word) > longest) | ~normalized(word).isin("", *STOPWORDS)
+
+
 def eligible_words(words: Column) -> Column:
     """Indices of the words that masks are drawn from: content words, else all with a letter or digit."""
 
     def those(test) -> Column:
-        indexed = F.transform(words, lambda w, i: F.when(test(normalized(w)), i))
-        return F.array_compact(indexed)
+        return F.array_compact(F.transform(words, lambda w, i: F.when(test(w), i)))
 
-    maskable = those(lambda w: w != "")
-    return let(those(lambda w: (w != "") & ~w.isin(*STOPWORDS)), lambda c: F.when(F.size(c) > 0, c).otherwise(maskable))
+    return let(those(is_content), lambda c: F.when(F.size(c) > 0, c).otherwise(those(is_maskable)))
 
 
 def word_pieces(spans: Column, offsets: Column) -> Column:

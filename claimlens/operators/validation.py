@@ -11,14 +11,20 @@ from claimlens.operators.scoring import POSITION_LISTS, REDUCED
 PREVIEW = 20
 
 
-def require_valid(violations: DataFrame) -> None:
-    """ValueError with the first violations by line and rule, and how many more there are."""
+def preview(violations: DataFrame) -> list[str]:
+    """The first violations by line and rule as text, and how many more there are; none without any."""
     first = violations.orderBy(F.col("line_number").asc_nulls_last(), "rule", "message").limit(PREVIEW).collect()
-    if first:
-        n = violations.count()
-        shown = "\n".join(f"- line {r['line_number']} {r['rule']}: {r['message']}" for r in first)
-        more = f"\n- ... and {n - PREVIEW} more" if n > PREVIEW else ""
-        raise ValueError(f"validation failed with {n} error(s):\n{shown}{more}")
+    shown = [f"- line {r['line_number']} {r['rule']}: {r['message']}" for r in first]
+    more = violations.count() - PREVIEW if len(first) == PREVIEW else 0
+    return shown + ([f"- ... and {more} more"] if more > 0 else [])
+
+
+def require_valid(violations: DataFrame) -> None:
+    """ValueError with a preview of the violations, if there are any."""
+    shown = preview(violations)
+    if shown:
+        n = int(shown[-1].split()[3]) + PREVIEW if len(shown) > PREVIEW else len(shown)
+        raise ValueError(f"validation failed with {n} error(s):\n" + "\n".join(shown))
 
 
 def span_is_valid(span: Column, text: Column) -> Column:

@@ -111,12 +111,60 @@ works as (select item_id, mask_index, sha256('{"arm":"prior","attention_mask":['
   || target_ids || '],"temperature":1.0,"tokenizer_revision":"tokenizer_revision-v1"}') as work_id from geo)
 """
 _RECORDS = """
-rec as (select o_orderkey as ln, o_orderkey::varchar as id, (o_custkey % 100)::varchar as fam,
+rec0 as (select o_orderkey as ln, o_orderkey::varchar as id, (o_custkey % 100)::varchar as fam,
   case o_orderstatus when 'F' then 'test' else 'dev' end as split, 'Order ' || o_orderkey as claim, o_orderkey % 3 <> 0 as has,
   case when o_orderkey % 3 = 0 then null when o_orderkey % 5 = 0 then o_orderkey when o_orderkey % 7 = 0 then o_orderkey + 2000000
     when o_orderkey % 11 = 0 then o_orderkey + 2 else xor(o_orderkey, 1) end::varchar as pair,
-  7 + o_orderkey % 6 as fin from orders)
+  7 + o_orderkey % 6 as fin from orders),
+rec as (from rec0 union all select ln + 10000000, id, '0', split, claim, has, pair, fin from rec0 where ln % 97 = 0)
 """
+_CROSS = f"""{_RECORDS},
+lastrec as (from rec qualify row_number() over (partition by id order by ln desc) = 1),
+j as (select r.*, o.fam as ofam, o.claim as oclaim, o.pair as back, o.id as oid from rec r left join lastrec o on r.pair = o.id where r.has),
+v as (select 'X1' as rule, ln, 'duplicate example_id: ' || id as message from rec qualify row_number() over (partition by id order by ln) > 1
+  union all select 'X2', null, null from rec group by fam having count(distinct split) > 1
+  union all select 'X3', ln, 'paired example is missing' from j where oid is null
+  union all select 'X4', ln, 'example is paired with itself' from j where oid = id
+  union all select 'X5', ln, 'pair crosses families' from j where oid <> id and ofam <> fam
+  union all select 'X6', ln, 'original span is invalid in the paired claim' from j where oid <> id and fin > length(oclaim)
+  union all select 'X7', ln, 'pairing is not reciprocal' from j where oid <> id and back is distinct from id
+  union all select 'X8', null, null from j group by pair having count(*) > 1)
+"""
+#: What each damage of a record or a row is told as.
+_STRUCTURE = (
+    "<row>: missing key domain", "<row>: unknown key extra", "schema_version: not an allowed value", "provenance.created_at: too short",
+    "prior_familiarity: not an allowed value", "knowledge_audit.audited_at: not a date-time", "claim_origin.kind: not an allowed value",
+    "evidence_condition: not an allowed value", "evidence_sets.0.retrieval_rank: out of range", "atomic_facts.0.claim_span.start: not an integer",
+    "contrast.edit_role: not an allowed value", "annotations.agreement: out of range", "invalid JSON: half of a surrogate pair",
+    "invalid JSON: nested too deeply", "invalid JSON: integer of too many digits", "knowledge_audit.median_logprob_margin: not a number",
+)
+_COHERENCE = ("C1", "C3", "C9", "C8 C9", "C7", "C2 C3 C4 C9", "C4 C9", "C5 C8 C9", "C6 C8 C9", "C11", "C11")
+_WORK = (
+    "", "empty string field", "attention length", "attention length; position out of range", "attention value", "repeated position",
+    "position out of range", "target length", "mask rate", "", "analytic temperature", "temperature; analytic temperature", "mask rate",
+)
+_ALIGNMENT = ("", "word without a piece", "offset outside the claim; piece overlaps two words", "piece overlaps two words", "")
+_GEOMETRY_ERRORS = ("none", "word without a piece", "piece of two selected words", "piece outside the tokens", "word out of range", "no piece")
+_TAKEN = (
+    "C10 cache columns", "C11 result columns", "C12 fingerprint", "C12 temperature 2, other protocol", "C13 environment", "C14 manifest",
+    "K4 run", "K6 cache",
+)
+_REFUSED = (
+    "C10 a column more", "C10 a column less", "C10 no rows", "C11 a column less", "C12 empty field", "C12 a field more", "C12 temperature 2",
+    "C12 temperature 0", "C13 a field less", "C14 generation 0", "C14 generation true", "C14 a key more", "C14 no shards", "C14 other plan",
+    "C14 whole temperature", "C15 name", "C15 row count", "C15 range", "C15 digest", "C15 repeated partition", "K2 not a number",
+    "K4 occupied folder", "K4 no run_uuid", "K4 gate without a reason", "K4 repeated rows", "K4 rows less than planned",
+    "S6 other format", "S8 unplanned ids",
+)
+
+
+def _numbered(texts, first: int = 0) -> str:
+    """A table of (d, told), one row for each text."""
+    return "(values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts, first)) + ") as told(d, told)"
+
+
+_PARTS = "sized as (select (vec_id // 5) % 3 as p, count(distinct vec_id // 5) as n from embeddings group by 1)"
+
 
 ORACLE_SQL: dict[str, str] = {
     "softmax_probabilities": f"with {_LOGITS} select vec_id, (i - 1)::int as token_id, round(p[i], 9) + 0.0 as probability from p, unnest(range(1, len(p) + 1)) u(i)",
@@ -148,8 +196,8 @@ ORACLE_SQL: dict[str, str] = {
         where not exists (select 1 from raw_claims b where b.example_id = a.pair and b.arm = a.arm)""",
     "word_spans": f"with {_WORDS} select item_id, word_index::int as word_index, word, start_at::int as start_at, end_at::int as end_at from words",
     "content_words": f"""with w as (select doc_id, {_NORM.format("unnest(regexp_extract_all(text, '" + _WORD + "'))")} as w from documents)
-        select doc_id, count(*) as n_words, count(*) filter (w <> '') as n_maskable, count(*) filter (w <> '' and w not in ({_STOP})) as n_content
-        from w group by doc_id""",
+        select d.doc_id, count(w) as n_words, count(*) filter (w <> '') as n_maskable, count(*) filter (w <> '' and w not in ({_STOP})) as n_content
+        from documents d left join w on w.doc_id = d.doc_id group by d.doc_id""",
     "mask_plan": f"with {_WORDS}, {_MASKS} select item_id, mask_index::int as mask_index, mask_rate, word_indices from plan",
     "word_piece_alignment": f"""with {_WORDS}, pieces as (select item_id, k, 4 * k as a, least(4 * k + 4, length(text)) as b
         from benchmark, unnest(range(((length(text) - 1) // 4 + 1)::bigint)) u(k))
@@ -165,15 +213,10 @@ ORACLE_SQL: dict[str, str] = {
     "cache_misses": "select o_orderkey as work_id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 10)",
     "overlapping_shards": """select distinct a.l_suppkey % 50 as partition_index from lineitem a join lineitem b
         on a.l_orderkey = b.l_orderkey and b.l_suppkey % 50 < a.l_suppkey % 50""",
-    "cross_row_violations": f"""with {_RECORDS}, j as (select r.*, o.fam as ofam, o.claim as oclaim, o.pair as back, o.id as oid from rec r left join rec o on r.pair = o.id where r.has),
-        v as (select 'X2' as rule, null as ln from rec group by fam having count(distinct split) > 1
-          union all select 'X3', ln from j where oid is null
-          union all select 'X4', ln from j where oid = id
-          union all select 'X5', ln from j where oid <> id and ofam <> fam
-          union all select 'X6', ln from j where oid <> id and fin > length(oclaim)
-          union all select 'X7', ln from j where oid <> id and back is distinct from id
-          union all select 'X8', null from j group by pair having count(*) > 1)
-        select rule, count(*) as n, sum(ln)::bigint as lines from v group by rule""",
+    "cross_row_violations": f"with {_CROSS} select rule, count(*) as n, sum(ln)::bigint as lines from v group by rule",
+    "violation_preview": f"""with {_CROSS}, r as (select ln, rule, message, row_number() over (order by ln, rule, message) as place from v where ln is not null)
+        select place - 1 as place, '- line ' || ln || ' ' || rule || ': ' || message as shown from r where place <= 20
+        union all select 20, '- ... and ' || (count(*) - 20) || ' more' from r having count(*) > 20""",
     "semantic_violations": f"""with {_RECORDS}, e as (select *, case when ln % 6 = 0 then 0 when ln % 9 = 0 then 2 else 1 end as ne, ln % 4 = 0 as bare,
           case when ln % 5 < 2 then 'none' when ln % 5 = 2 then 'gold' else 'retrieved' end as cond,
           case when ln % 3 = 0 then 'recall' when ln % 3 = 1 then 'recognition' else 'weak' end as st, ln % 8 <> 0 as audit from rec),
@@ -190,11 +233,45 @@ ORACLE_SQL: dict[str, str] = {
           union all select 'R11', ln from e where audit and (ln % 5 = 0) <> (st = 'recall')
           union all select 'R12', ln from e where audit and ln % 13 = 0)
         select rule, count(*) as n, sum(ln)::bigint as lines from v group by rule""",
-    "physical_coherence": """with r as (select distinct vec_id // 5 as q from embeddings), m(d, rule) as
-        (values (1, 'C1'), (2, 'C3'), (3, 'C9'), (4, 'C8'), (4, 'C9'), (5, 'C7')) select rule, count(*) as n from r join m on q % 25 = d group by rule""",
+    "physical_coherence": f"""with r as (select distinct vec_id // 5 as q from embeddings)
+        select unnest(string_split(told, ' ')) as rule, count(*) as n from r join {_numbered(_COHERENCE, 1)} on q % 25 = d group by rule""",
     "evidence_by_arm": """with t as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) as t from conversations group by 1)
         select conv_id, 'prior' as arm, sha256('') as evidence_sha256 from t union all select conv_id, 'supplied_evidence', sha256(t) from t""",
-    "json_records": """select event_type, count(*) as n, count(json_extract(props, '$.k')) as n_k, sum(json_extract(props, '$.k')::bigint)::bigint as sum_k
-        from events group by event_type""",
+    "record_structure": f"""select coalesce(told, 'none') as violation, count(*) as n, sum(o_orderkey)::bigint as lines
+        from orders left join {_numbered(_STRUCTURE, 1)} on o_orderkey % 23 = d group by 1""",
+    "scoring_view": f"""select 'e' || o_orderkey as example_id, 'f' || o_orderkey as family_id, 'dev' as split, 'Order ' || o_orderkey || ' is late.' as claim,
+        'refuted' as label, 'trade' as domain, 'date' as fact_type, 'unknown' as prior_familiarity, 'retrieved' as evidence_condition,
+        'Evidence ' || o_orderkey || '.' as evidence_texts, 'p' || o_orderkey as paired_example_id, 'weak' as knowledge_status, false as knowledge_passed
+        from orders where o_orderkey % 23 not between 1 and {len(_STRUCTURE)}""",
+    "numbered_lines": """select (row_number() over w + coalesce(sum((n_nationkey % 3 = 0)::int) over (w rows between unbounded preceding and 1 preceding), 0))::bigint as line_number,
+        n_name as raw from nation window w as (order by n_nationkey)""",
+    "plan_requests": f"""with {_WORDS}, {_MASKS} select item_id || '-' || mask_index as request_id, item_id::bigint as item_id, mask_index::int as mask_index,
+        word_indices, 99 as mask_token_id from plan""",
+    "attach_examples": """select o_orderkey as request_id, case when o_orderkey % 7 <> 0 then o_custkey::varchar end as family_id,
+        case when o_orderkey % 7 <> 0 then case o_orderstatus when 'F' then 'refuted' when 'O' then 'supported' else 'insufficient' end end as label,
+        o_orderkey % 7 = 0 or o_orderkey % 5 = 0 as mismatch from orders""",
+    "attach_marginals": """select (vec_id // 5)::varchar as request_id, (vec_id % 5)::int as position, (label % len(embedding))::int as target_id,
+        vec_id % 7 <> 0 as found, vec_id % 7 = 0 or vec_id % 11 = 0 as mismatch from embeddings""",
+    "invalid_distributions": "select vec_id, vec_id % 10 in (0, 6, 8, 9) as valid, vec_id % 10 in (0, 6) as scored from embeddings",
+    "work_errors": f"select told as reasons, count(*) as n, sum(vec_id)::bigint as ids from embeddings join {_numbered(_WORK)} on vec_id % 13 = d group by told",
+    "alignment_errors": f"select item_id, told as errors from benchmark join {_numbered(_ALIGNMENT)} on item_id % 5 = d",
+    "geometry_errors": f"select item_id, told as error from benchmark join {_numbered(_GEOMETRY_ERRORS)} on item_id % 6 = d",
+    "run_counts": f"""with {_CLAIMS} select count(*) as n_mask_rows, count(distinct example_id) as n_examples, count(distinct family_id) as n_families,
+        count(distinct (example_id, mask_index)) as n_work_ids from measured""",
+    "evaluation_document": f"""with {_CLAIMS}, {_AUROC}, {_CONTRAST}, {_FAMILY},
+        sizes as (select arm, count(*) as n_claims, count(distinct family_id) as n_families from claims group by arm)
+        select arm, a.score, round(a.auroc, 6) + 0.0 as auroc, coalesce(c.n, 0) as n_declared_contrasts, round(c.mean_gap, 6) + 0.0 as contrast_mean_gap,
+        coalesce(f.n, 0) as n_binary_families, round(f.mean_gap, 6) + 0.0 as family_mean_gap, n_claims, n_families, (select count(*) from measured) as n_mask_rows
+        from auc a left join contrast c using (arm, score) left join family f using (arm, score) join sizes using (arm)""",
+    "cache_lifecycle": f"""with {_PARTS} select step, p::int as partition_index, generation, state, case when state in ('refused', 'failed') then 0 else n end as n_rows
+        from sized join (values ('published', 3, 0, 'sealed'), ('published', 3, 1, 'sealed'), ('published', 3, 2, 'sealed'),
+          ('repeated', 3, 0, 'sealed'), ('repeated', 3, 1, 'sealed'), ('repeated', 3, 2, 'sealed'), ('replaced', 3, 1, 'refused'),
+          ('damaged', 3, 0, 'valid'), ('damaged', 3, 1, 'valid'), ('damaged', 3, 2, 'failed'), ('unrepaired', 3, 0, 'refused'), ('unrepaired', 3, 2, 'refused'),
+          ('repaired', 4, 0, 'sealed'), ('repaired', 4, 1, 'sealed'), ('repaired', 4, 2, 'sealed'),
+          ('hydrated', 4, 0, 'read'), ('hydrated', 4, 1, 'read'), ('hydrated', 4, 2, 'read')) as s(step, generation, q, state) on p = q""",
+    "sealed_bundle": f"""with {_LOGITS} select sha256((vec_id // 5)::varchar) as work_id, 'request-' || (vec_id // 5) as example_id, count(*)::int as n_masked_pieces,
+        round(avg(ce), 6) + 0.0 as ce_mean, round(avg(entropy), 6) + 0.0 as entropy_mean, string_agg(target_id, ',' order by vec_id) as target_ids,
+        (select count(distinct vec_id // 5) from embeddings) as n_rows, true as whole from scored group by vec_id // 5""",
+    "protocol_checks": f"""select told as case, true as accepted from {_numbered(_TAKEN)} union all select told, false from {_numbered(_REFUSED)}""".replace("as case", 'as "case"'),
     "tolerance_checks": "select (p_partkey % 7) * 3e-11 <= 1e-10 as agrees, count(*) as n from part group by 1",
 }

@@ -44,6 +44,29 @@ def test_auroc_against_all_pairs(spark, partitions):
         assert got[arm] == (want if want is None else pytest.approx(want, abs=1e-12))
 
 
+def test_order_and_partitions_keep_every_bit(spark):
+    """Means that would differ in the last bit by the order of summation, and ties that hang on it."""
+    rng = random.Random(8)
+    rows = []
+    for e in range(120):
+        pair, label = f"e{e ^ 1}", "refuted" if e % 2 else "supported"
+        values = rng.choice([[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.2], [1e-7, 0.1, 0.7], [rng.random() for _ in range(7)]])
+        rows += [(f"e{e}", f"f{e // 12}", "dev", label, pair, "prior", i, v) for i, v in enumerate(values)]
+    kind = "example_id string, family_id string, split string, label string, paired_example_id string, arm string, mask_index int, s double"
+    told = []
+    for turn in range(6):
+        rng.shuffle(rows)
+        masks = spark.createDataFrame(rows, kind).repartition(1 + turn)
+        masks = masks.select("*", *[F.col("s").alias(c) for c in evaluation.SUMMARY]).drop("s")
+        told.append(evaluation.evaluation_document(masks))
+    assert all(t == told[0] for t in told)
+    score = told[0]["arms"]["prior"]["scores"]["ce_mean"]
+    claims = {r["example_id"]: r["ce_mean"] for r in evaluation.reduce_claims(masks).collect()}
+    gaps = [claims[f"e{e + 1}"] - claims[f"e{e}"] for e in range(0, 120, 2)]
+    assert score["declared_contrasts"]["wins"] == sum(g > 0 for g in gaps) and 0.0 in gaps
+    assert {x for x in claims.values() if abs(x - 0.2) < 1e-12} == {0.2}
+
+
 def test_probe_pair_and_family_disagree(spark):
     claims = evaluation.reduce_claims(aggregation_probe(spark))
     assert claims.filter("example_id = 'pair-supported'").first()["ce_mean"] == 2.0

@@ -2,7 +2,7 @@
 
 import copy
 import json
-import re
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +112,9 @@ def edited(row, path, value):
         (("annotations", "agreement"), 1.5, "annotations.agreement: out of range"),
         (("annotations", "annotator_ids"), ["x"], "annotations.annotator_ids: too few items"),
         (("knowledge_audit",), AUDIT | {"audited_at": "yesterday"}, "knowledge_audit.audited_at: not a date-time"),
+        (("knowledge_audit",), AUDIT | {"audited_at": "2024-13-45T99:99:99Z"}, "knowledge_audit.audited_at: not a date-time"),
+        (("knowledge_audit",), AUDIT | {"audited_at": "2023-02-29T10:00:00Z"}, "knowledge_audit.audited_at: not a date-time"),
+        (("knowledge_audit",), AUDIT | {"audited_at": "2024-02-28T10:00:00+24:00"}, "knowledge_audit.audited_at: not a date-time"),
         (("knowledge_audit",), AUDIT | {"passed": 1}, "knowledge_audit.passed: not a boolean"),
         (("evidence_sets",), [EVIDENCE | {"retrieval_rank": 0}], "evidence_sets.0.retrieval_rank: out of range"),
     ],
@@ -185,6 +188,84 @@ def test_errors_are_previewed(spark, tmp_path, pair):
         records.load_records(spark, write(tmp_path, [""]))
 
 
+def test_no_line_ends_a_scan(spark, tmp_path, pair):
+    """Lines that JSON parsers choke on are violations; the others are read."""
+    half = json.dumps(pair[0]).replace('"dataset":', '"dataset": "\\ud800", "dataset_":')
+    whole = edited(pair[0], ("claim",), pair[0]["claim"] + " \U0001f30a")
+    rows = ['{"a": "\\ud800"}', "[" * 200_000, "9" * 5_000, '{"\\udfff": 1}', half.replace('"dataset_": "', '"x": "'), whole, pair[1], "\ufffd"]
+    lines = records.read_lines(spark, write(tmp_path, rows))
+    checked = {r["line_number"]: r["errors"] for r in records.checked_lines(lines).collect()}
+    assert sorted(checked) == list(range(1, 9)) and not checked[6] and not checked[7]
+    assert checked[2] == ["invalid JSON: nested too deeply"] and checked[3] == ["invalid JSON: integer of too many digits"]
+    assert "<row>: unknown key ?" in checked[4] and checked[8][0].startswith("invalid JSON")
+    one = edited(pair[0], ("claim",), "half \ud800 of a pair")
+    assert records.checked_line(json.dumps(one))[1] == ["invalid JSON: half of a surrogate pair"]
+    typed = records.typed_records(records.checked_lines(lines))
+    assert typed.filter("line_number = 6").first()["claim"].endswith("\U0001f30a")
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Numbers are those of the file, however it is cut into splits and wherever lines end."""
+    rng = random.Random(3)
+    ends = ["\n", "\r\n", "\n\n", "\n \t\n"]
+    content, want, number = "", {}, 1
+    for i in range(4000):
+        line, end = f"{i} " + "x" * rng.randint(0, 60), rng.choice(ends)
+        content += line + end
+        want[number] = line
+        number += end.count("\n")
+    (tmp_path / "a.txt").write_bytes(content.encode())
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.txt").write_text("")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (limit, "7001"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = records.read_lines(spark, str(tmp_path / "a.txt"))
+            assert {r["line_number"]: r["raw"] for r in lines.collect()} == want
+        assert lines.rdd.getNumPartitions() > 4
+        assert records.read_lines(spark, str(tmp_path / "b")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
+def test_missing_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        records.load_records(spark, str(tmp_path / "none.jsonl"))
+
+
+def test_schema_round_trip(spark, tmp_path, pair):
+    (tmp_path / "s.json").write_text(json.dumps(records.schema_of(records.RECORD) | {"$id": "any", "title": "records"}))
+    assert records.load_schema(str(tmp_path / "s.json")) == records.load_schema() == records.RECORD
+    narrow = records.schema_of(records.RECORD)
+    narrow["properties"]["domain"] = {"$ref": "#/$defs/domain"}
+    (tmp_path / "n.json").write_text(json.dumps(narrow | {"$defs": {"domain": {"const": "lakes"}}}))
+    with pytest.raises(ValueError, match="domain: not an allowed value"):
+        records.load_records(spark, write(tmp_path, pair), str(tmp_path / "n.json"))
+    with pytest.raises(ValueError, match="no readable schema"):
+        records.load_schema(str(tmp_path / "none.json"))
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        {"type": "string"},
+        {"type": "object"},
+        {"type": "object", "additionalProperties": False, "required": ["a"]},
+        {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "strange"}}},
+        {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "string", "pattern": "x"}}},
+        {"type": "object", "additionalProperties": False, "properties": {"a": {"$ref": "#/$defs/none"}}},
+        {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "string", "format": "email"}}},
+        {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "array"}}},
+        [],
+    ],
+)
+def test_schemas_that_are_refused(tmp_path, schema):
+    (tmp_path / "s.json").write_text(json.dumps(schema))
+    with pytest.raises(ValueError):
+        records.load_schema(str(tmp_path / "s.json"))
+
+
 def test_evidence_for_arm(spark):
     df = spark.createDataFrame([(["a", "b"], "prior"), (["a", "b"], "supplied_evidence")], "t array<string>, arm string")
     assert [r[0] for r in df.select(records.evidence_for_arm(F.col("t"), F.col("arm"))).collect()] == ["", "a\n\nb"]
@@ -205,8 +286,3 @@ def test_plan_and_marginals(spark, tmp_path):
     (tmp_path / "plan.json").write_text(json.dumps(plan | {"fixture_kind": "x"}))
     with pytest.raises(ValueError, match="kind"):
         records.read_mask_plan(spark, str(tmp_path / "plan.json"))
-
-
-def test_read_lines_names_what_exists():
-    named = re.findall(r"`(\w+)`", records.read_lines.__doc__)
-    assert named and all(hasattr(records, n) for n in named)
