@@ -7,7 +7,8 @@ at equal targets, and a row belongs to the shard in which its middle byte lies.
 
 Defined cases: null texts weigh only the row overhead; a null key sorts first; rows that are equal in
 all sort columns are ordered arbitrarily but only once, since the order is written down; an empty
-table gives an empty result; one text larger than a shard can leave neighbours empty; columns that
+table gives an empty result; a cut that falls among such rows splits them in `shard_by_bytes`, which numbers
+rows, and leaves them together in `with_shards`, which compares keys; one text larger than a shard can leave neighbours empty; columns that
 the caller has besides the key and text don't enter, whatever their names.
 """
 
@@ -57,7 +58,10 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (place in the shard, gapless from 0) of every row."""
+    """doc_id, size, text_crc32, shard and slot (place in the shard, gapless from 0) of every row.
+
+    Rows that agree in the whole sort key may lie on both sides of a cut.
+    """
     placed = prefix_sums(_slim(docs), ["doc_id", "text_crc32", "size"], "size")
     middle = F.expr(f"(2 * offset + size) * {n_shards} div (2 * whole)")
     placed = placed.withColumn("shard", F.least(middle, F.lit(n_shards - 1)).cast("int"))
@@ -79,7 +83,7 @@ def with_shards(docs: DataFrame, n_shards: int = 40, name: str = "shard") -> Dat
     """All columns of `docs` and the shard of each row, as column `name` (it replaces one of that name).
 
     The cuts are n_shards sort keys, so that each row finds its shard by comparing with them and no
-    text is shuffled. Rows that agree in the whole sort key stay together.
+    text is shuffled. Rows that agree in the whole sort key stay together, also where shard_by_bytes splits them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = F.struct(

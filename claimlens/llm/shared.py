@@ -7,9 +7,7 @@ the same way, whether on the JVM side (`WORD`) or over Arrow buffers (`Words`).
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.sources.scratch import discard, intermediates, stored, written
+
+__all__ = ["discard", "intermediates", "stored", "written"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one vectorised step works on, so that memory follows this and not the batch.
 SLICE_BYTES = 3 << 20
@@ -26,57 +28,6 @@ BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 40
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local one for a local master;
-    on a cluster, where executors don't share one, ValueError."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if context.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return "/tmp/checkpoints"
-
-
-#: Folders that `written` has made in the scopes of `intermediates` that are open.
-_scopes: list[list[str]] = []
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` written to the shared folder and read back with the same schema, and its folder."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back with the same schema.
-
-    The files outlive a lost executor, and nondeterministic columns are fixed from here on. They stay for
-    as long as a result may be read from them: until the scope of `intermediates` around ends.
-    """
-    return stored(df, name)[0]
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder that `stored` made and that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@contextmanager
-def intermediates(spark: SparkSession) -> Iterator[None]:
-    """A scope whose tables of `written` are removed at its end, for callers that store the result inside."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            discard(spark, path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,6 +3,8 @@
 import collections
 import math
 import random
+import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -66,6 +68,72 @@ def test_quality_measures(documents):
     assert quality.quality_measures(documents([])).count() == 0
 
 
+def plain_fertility(value):
+    """Script, characters per piece, byte share, letters per token and the verdict, word by word."""
+    bpe, pieces, is_byte = quality._encoders(quality.TOKENIZERS)
+    words = WORD.findall(value or "")
+    votes = collections.Counter()
+    chars = n_pieces = n_bytes = letters = 0
+    tokens = []
+    for w in words:
+        votes[next((name for c in w if c.isalpha() for name, (span, *_) in quality.BANDS.items() if span[0] <= ord(c) <= span[1]), "other")] += 1
+        chars += len(w)
+        letters += sum(c.isalpha() for c in w)
+        ids = pieces.encode(w)
+        n_pieces, n_bytes = n_pieces + len(ids), n_bytes + sum(bool(is_byte[i]) for i in ids)
+        tokens += bpe.encode_ordinary(" " + w)
+    script = max(quality.SCRIPTS, key=lambda name: (votes[name], -quality.SCRIPTS.index(name)))
+    by_token, by_letter = chars / max(len(tokens), 1), letters / max(len(tokens), 1)
+    by_piece, share = chars / max(n_pieces, 1), n_bytes / max(n_pieces, 1)
+    bits = -sum(n / len(tokens) * math.log2(n / len(tokens)) for n in collections.Counter(tokens).values())
+    _, (low, high), letter, piece, most, least = quality.BANDS[script]
+    fits = low <= by_token <= high and by_letter >= letter and by_piece >= piece and share <= most and (len(tokens) < 100 or bits >= least)
+    return script, by_piece, share, by_letter, fits and not plain_quality(value)[-1]
+
+
+def test_quality_fertility_and_bands(documents):
+    rng = random.Random(21)
+    alphabets = ["abcdefgh", "ABCDEFGH#%", "αβγδεζ", "абвгдежз", "אבגדה", "東京大学", "éüößñ", "0123456789", "😀👍#", "\u0378\ue000"]
+    rows = []
+    for i in range(160):
+        some = rng.choices(alphabets, k=rng.randint(1, 3))
+        words = ["".join(rng.choices(rng.choice(some), k=rng.randint(1, 9))) for _ in range(rng.choice([0, 3, 15, 60, 150]))]
+        rows.append((i, " ".join(words)))
+    rows += ODD
+    texts = {d: t for d, t in rows}
+    got = quality.quality_measures(documents(rows)).collect()
+    verdicts = set()
+    for r in got:
+        script, by_piece, share, by_letter, kept = plain_fertility(texts[r["doc_id"]])
+        assert (r["script"], r["kept"]) == (script, kept), r
+        for name, want in (("chars_per_piece", by_piece), ("byte_share", share), ("letters_per_token", by_letter)):
+            assert r[name] == pytest.approx(want), name
+        verdicts.add((r["script"], r["kept"]))
+    assert len(verdicts) >= 7
+
+
+def test_long_texts_and_empty_tables(spark, documents):
+    """Texts of over 1 MB through every operator here, and no rows at all."""
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(160_000)]
+    edited_words = [w if rng.random() > 0.01 else "changed" for w in words]
+    long, copy = " ".join(words), " ".join(edited_words)
+    docs = documents([(1, long), (2, copy), (3, "short text here"), (4, "alpha beta " * 100_000), (5, "alpha beta " * 3), (6, "alpha beta " * 2)])
+    assert min(map(len, (long, copy))) > 1 << 20
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert near[1] == (len(shingles(long, 5)), 1) and near[2][1] == 1 and near[4] == (2, 4)
+    measured = {r["doc_id"]: r for r in quality.quality_measures(docs).collect()}
+    assert measured[1]["n_words"] == 160_000 and measured[4]["n_repeat_words"] == 200_000
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()}
+    assert counted[4] == counted[6] + 99_998 * (counted[5] - counted[6])
+    scored = toxicity.score_toxicity(docs, toxicity.Boosted(0.0, 0.2)).collect()
+    assert len(scored) == 6 and {r["score"] for r in scored} == {0.5}
+    none = documents([])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels)).count() == 0
+    assert token_counts.token_counts(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
+
+
 def test_quality_verdicts(documents):
     prose = (
         "The council met on Tuesday to discuss how the old harbour could be repaired before winter, and several "
@@ -199,6 +267,74 @@ def test_toxicity_without_labels(spark, documents):
         assert scores == {want}
 
 
+def plain_features(value, lexicon):
+    """The features of a text, word by word."""
+    words = WORD.findall(value)
+    kinds = [toxicity.word_kind(w, lexicon) for w in words]
+    n, chars = max(len(words), 1), max(len(value), 1)
+    bad = [k[0] or k[2] for k in kinds]
+    near = sum(b and any(k[3] for k in kinds[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, b in enumerate(bad))
+    count = lambda at: sum(k[at] for k in kinds)
+    insults = sum(bad)
+    return [
+        insults / n, math.log1p(insults), len({w for w, b in zip(words, bad, strict=True) if b}), near / n, count(1) / n, count(2) / n, count(3) / n,
+        count(4) / n, sum(unicodedata.category(c) == "Lu" for c in value) / chars, value.count("!") / chars, value.count("?") / chars,
+        sum(c in string.punctuation for c in value) / chars, count(5) / n, math.log1p(len(words)), count(6) / n, math.log1p(count(6)),
+        len({w for w, k in zip(words, kinds, strict=True) if k[6]}),
+    ]
+
+
+def test_toxicity_features():
+    rng = random.Random(14)
+    pool = ["idiot", "You", "st*pid", "1diot", "KILL", "river,", "LAKE", "zorgle", "zorgling", "a-b", "it's", "!!!", "Ünder", "b@d", "?", "du", "42"]
+    values = ["", " ", *(" ".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(60))]
+    lexicon = frozenset({"zorg*"})
+    got = toxicity.features(pa.array(values, pa.large_string()), {}, lexicon)
+    assert got.shape == (len(values), len(toxicity.FEATURES))
+    for row, value in zip(got, values, strict=True):
+        assert row.tolist() == pytest.approx(plain_features(value, lexicon))
+    kinds = {w: toxicity.word_kind(w, lexicon) for w in pool}
+    flags = ("insult", "threat", "hidden", "second", "capital", "disguised", "learned")
+    told = {w: {f for f, x in zip(flags, k, strict=True) if x} for w, k in kinds.items()}
+    assert told["idiot"] == {"insult"} and told["1diot"] == {"hidden", "disguised"} == told["st*pid"] and told["You"] == {"second"}
+    assert told["KILL"] == {"threat", "capital"} and told["LAKE"] == {"capital"} and told["zorgling"] == {"learned"}
+    assert not (told["river,"] or told["a-b"] or told["it's"] or told["42"] or told["!!!"])
+
+
+def test_boosting_takes_the_best_split_and_walks_its_trees():
+    rng = np.random.default_rng(15)
+    x = np.round(rng.random((240, 4)), 2)
+    y = (x[:, 2] + 0.3 * x[:, 0] + 0.2 * rng.random(240) > 0.8).astype(np.int64)
+    model = toxicity.fit(x, y, trees=1, depth=1)
+    train = np.random.default_rng(5).permutation(len(y)) % 4 != 0
+    tx, ty = x[train], y[train]
+    p = 1 / (1 + math.exp(-model.base))
+    assert p == pytest.approx(ty.mean())
+
+    def gain(f, cut):
+        sides = [ty[tx[:, f] <= cut] - p, ty[tx[:, f] > cut] - p]
+        part = lambda g: g.sum() ** 2 / (len(g) * p * (1 - p) + 1)
+        return part(sides[0]) + part(sides[1]) - part(ty - p)
+
+    (feature, cut, leaf), = model.cuts
+    best = max(gain(f, c) for f in range(4) for c in np.unique(np.quantile(tx[:, f], np.linspace(0, 1, 65))[:-1]))
+    assert gain(feature[0], cut[0]) == pytest.approx(best)
+    for side, value in zip((tx[:, feature[0]] <= cut[0], tx[:, feature[0]] > cut[0]), leaf, strict=True):
+        assert value == pytest.approx((ty[side] - p).sum() / (side.sum() * p * (1 - p) + 1))
+    deep = toxicity.fit(x, y, trees=6, depth=3)
+
+    def walk(row):
+        total = deep.base
+        for feature, cut, leaf in deep.cuts:
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += deep.rate * leaf[at - len(feature)]
+        return total
+
+    assert deep.raw(x).tolist() == pytest.approx([walk(row) for row in x])
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 30, 400).astype(float)

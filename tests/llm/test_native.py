@@ -241,11 +241,10 @@ def test_line_dedup_cuts_later_copies(documents):
     docs = documents([(1, f"first\n{passage}\nend"), (2, f"other\n\n{passage}\ntail"), (3, "clean words"), (4, None)])
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert out == {1: f"first\n{passage}\nend", 2: "other\n\ntail", 3: "clean words", 4: None}
-    # rows that share an id and differ in text are cut each by its own runs
+    # rows that share an id and differ in text are cut each by its own runs; a hash tells which comes first
     docs = documents([(1, f"a\n{passage}"), (1, f"b\n{passage}"), (1, "c")])
-    assert sorted(r["text"] for r in line_dedup.dedup_lines(docs).collect()) == sorted([f"a\n{passage}", "b", "c"]) or sorted(
-        r["text"] for r in line_dedup.dedup_lines(docs).collect()
-    ) == sorted(["a", f"b\n{passage}", "c"])
+    out = {r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert out in ({f"a\n{passage}", "b", "c"}, {"a", f"b\n{passage}", "c"})
 
 
 def grams(words):
@@ -391,6 +390,9 @@ def test_decontamination_with_null_and_repeated_items(spark, documents):
     ]
     kept = decontam.decontaminate(documents(rows), benchmark)
     assert [r["doc_id"] for r in kept.select("doc_id").collect()] == [9]
+    # rows that share an id are one document: with one of them dirty, all go
+    shared = documents([(1, a), (1, text(rng, 30)), (2, text(rng, 30)), (2, text(rng, 40))])
+    assert [r["doc_id"] for r in decontam.decontaminate(shared, benchmark).select("doc_id").collect()] == [2, 2]
 
 
 def test_decontamination_of_nothing(spark, documents):
