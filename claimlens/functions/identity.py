@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: The score-affecting fields.
 STRING_FIELDS = (
     "scoring_protocol", "model_repository", "model_revision", "tokenizer_revision", "remote_code_revision",
     "arm", "prompt_protocol", "mask_policy", "dtype", "inference_backend",
@@ -53,6 +55,33 @@ def json_integers(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(values.cast("array<string>"), ","), F.lit("]"))
 
 
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a column of any nesting: keys of structs sorted, no spaces, null as null.
+
+    A number that isn't finite has none and gives NULL.
+    """
+    if isinstance(kind, T.StringType):
+        made = json_string(value)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        made = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), json_number(value))
+        return F.when(value.isNull(), F.lit("null")).otherwise(made)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        made = value.cast("string")
+    elif isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda x: json_value(x, kind.elementType))
+        # array_join leaves NULLs out, so one of them makes the whole NULL
+        joined = F.when(F.forall(inner, lambda x: x.isNotNull()), F.array_join(inner, ","))
+        return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), joined, F.lit("]")))
+    elif isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(json_string(F.lit(f.name)), F.lit(":"), json_value(value[f.name], f.dataType)) for f in fields]
+        between = [x for p in parts for x in (F.lit(","), p)][1:]
+        made = F.concat(F.lit("{"), *between, F.lit("}"))
+    else:
+        raise ValueError(f"no canonical JSON for {kind.simpleString()}")
+    return F.when(value.isNull(), F.lit("null")).otherwise(made)
+
+
 def work_payload(fields: dict[str, Column]) -> Column:
     """Canonical JSON of the 16 score-affecting fields; the example is not among them."""
     written = {f: json_string(fields[f]) for f in STRING_FIELDS}

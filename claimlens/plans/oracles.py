@@ -273,5 +273,12 @@ ORACLE_SQL: dict[str, str] = {
         round(avg(ce), 6) + 0.0 as ce_mean, round(avg(entropy), 6) + 0.0 as entropy_mean, string_agg(target_id, ',' order by vec_id) as target_ids,
         (select count(distinct vec_id // 5) from embeddings) as n_rows, true as whole from scored group by vec_id // 5""",
     "protocol_checks": f"""select told as case, true as accepted from {_numbered(_TAKEN)} union all select told, false from {_numbered(_REFUSED)}""".replace("as case", 'as "case"'),
+    "canonical_rows": r"""select p_partkey, sha256('{"Price":' || p_retailprice::double || ',"nested":{"a":' || (p_partkey % 4 = 0) || ',"m":[' || p_partkey || ',' || p_partkey % 4
+        || '],"z":' || case p_partkey % 4 when 1 then '"q\"uote\\"' when 2 then '"tab\tbell\u0007 é"' when 3 then 'null' else '"' || p_name || '"' end
+        || '},"share":' || (p_partkey % 4) / 4 || '}') as row_sha256 from part""",
+    "offline_check": """select * from (values (0, 'aggregation: masks, pairs and families are reduced apart'), (1, 'records: 8 records of 4 families are valid'),
+        (2, 'plan: alignment, masks, geometry and work ids follow from the claims, in any order'),
+        (3, 'scoring: saved statistics agree, and refuted claims score above supported ones'),
+        (4, 'bundle: 8 results and their receipt are sealed'), (5, 'cache: a damaged shard is isolated and repaired')) as t(place, passed)""",
     "tolerance_checks": "select (p_partkey % 7) * 3e-11 <= 1e-10 as agrees, count(*) as n from part group by 1",
 }

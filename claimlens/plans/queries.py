@@ -16,6 +16,7 @@ from functools import reduce
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -443,8 +444,13 @@ def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every structural violation with its lines, and the lines without any, read back as typed records."""
-    checked = written(records.checked_lines(_record_lines(spark, sf_dir)), "checked")
+    """Every structural violation with its lines, and the lines without any, read back as typed records; the
+    format is loaded from a JSON Schema."""
+    folder = _local_folder(spark, "schema")
+    folder.mkdir(parents=True)
+    (folder / "records.json").write_text(json.dumps(records.schema_of(records.RECORD)))
+    kind = records.load_schema(str(folder / "records.json"))
+    checked = written(records.checked_lines(_record_lines(spark, sf_dir), kind), "checked")
     broken = checked.select("line_number", F.explode("errors").alias("violation"))
     typed = records.typed_records(checked).filter(F.col("example_id") == F.concat(F.lit("e"), F.col("line_number").cast("string")))
     told = broken.union(typed.select("line_number", F.lit("none").alias("violation")))
@@ -490,6 +496,17 @@ def invalid_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", "valid", F.col("ce").isNotNull().alias("scored"))
 
 
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of canonical JSON of nested rows, with nulls, quotes, control characters and numbers."""
+    part = table(spark, sf_dir, "part")
+    by = F.col("p_partkey") % 4
+    odd = F.when(by == 1, F.lit('q"uote\\')).when(by == 2, F.lit("tab\tbell\x07 é")).when(by == 3, F.lit(None)).otherwise(F.col("p_name"))
+    inner = F.struct(odd.alias("z"), (by == 0).alias("a"), F.array(F.col("p_partkey"), by).alias("m"))
+    row = F.struct(inner.alias("nested"), F.col("p_retailprice").cast("double").alias("Price"), (by / 4).alias("share"))
+    rows = part.select("p_partkey", row.alias("row"))
+    return rows.select("p_partkey", F.sha2(identity.json_value(F.col("row"), rows.schema["row"].dataType).cast("binary"), 256).alias("row_sha256"))
+
+
 def work_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reasons for which fields have no identity; undamaged ones have none."""
     by = F.col("vec_id") % 13
@@ -628,7 +645,8 @@ def sealed_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored_rows(spark, sf_dir).select(*artifacts.RESULT_SCHEMA.names)
     results, receipt = artifacts.write_bundle(_local_folder(spark, "run"), rows, receipt={"run_uuid": "sealed"}, plan=rows.select("work_id"))
     told = json.loads(receipt.read_text())
-    whole = told["status"] == "complete" and told["results"]["sha256"] == artifacts.sha256_file(results)
+    ids = pq.read_table(results, columns=["work_id"])["work_id"].to_pylist()
+    whole = told["status"] == "complete" and told["results"]["sha256"] == artifacts.sha256_file(results) and ids == sorted(ids)
     read = artifacts.read_results(spark, results).select("work_id", "example_id", "n_masked_pieces", "ce_mean", "entropy_mean", F.array_join("target_ids", ",").alias("target_ids"))
     return rounded(read.withColumns({"n_rows": F.lit(told["results"]["row_count"]).cast("long"), "whole": F.lit(whole)}), "ce_mean", "entropy_mean")
 
@@ -694,6 +712,13 @@ def protocol_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, not _refused(do)) for name, do in cases.items()], "case string, accepted boolean")
 
 
+def offline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the offline check passes, from the packaged fixtures to the repaired cache."""
+    from claimlens.__main__ import offline_check as checked
+
+    return spark.createDataFrame(list(enumerate(checked(spark))), "place long, passed string")
+
+
 def tolerance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("a"), (F.col("p_retailprice") * (1 + (F.col("p_partkey") % 7) * 3e-11)).alias("b"))
     return part.groupBy(close(F.col("a"), F.col("b")).alias("agrees")).agg(F.count("*").alias("n"))
@@ -708,6 +733,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         geometry_errors, work_ids, work_errors, id_digests, plan_diff, cache_misses, overlapping_shards,
         cross_row_violations, violation_preview, semantic_violations, physical_coherence, evidence_by_arm,
         record_structure, scoring_view, numbered_lines, plan_requests, attach_examples, attach_marginals,
-        invalid_distributions, cache_lifecycle, sealed_bundle, protocol_checks, tolerance_checks,
+        invalid_distributions, canonical_rows, cache_lifecycle, sealed_bundle, protocol_checks, offline_check, tolerance_checks,
     )
 }
