@@ -155,7 +155,7 @@ def _checked(spark: SparkSession, given: Path, out: Path) -> list[str]:
     passed.append(f"bundle: {counts['n_mask_rows']} results and their receipt are sealed")
 
     cache = out / "cache"
-    digest = results.agg(identity.ids_digest(F.collect_list("work_id"), False)).first()[0]
+    digest = identity.plan_digest(plan)
     told = {"plan_hash": digest, "fingerprint": fixtures.FINGERPRINT, "plan": plan}
     environment = artifacts.local_environment(spark)
     rows = artifacts.cache_rows(results)

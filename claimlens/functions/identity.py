@@ -7,6 +7,8 @@ have equal identities.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,11 +121,23 @@ def work_errors(fields: dict[str, Column]) -> Column:
 
 
 def ids_digest(ids: Column, final_newline: bool = True) -> Column:
-    """Digest of an array of ids as sorted lines."""
+    """Digest of an array of ids as sorted lines; for ids beyond what an array holds there is plan_digest."""
     lines = F.array_join(F.array_sort(ids), "\n")
     return F.sha2((F.concat(lines, F.lit("\n")) if final_newline else lines).cast("binary"), 256)
 
 
+def plan_digest(plan: DataFrame, id_column: str = "work_id", final_newline: bool = False) -> str:
+    """`ids_digest` of a whole plan of any size: sorted by the executors, and hashed on the driver line by line,
+    with one partition there at a time."""
+    digest, between = hashlib.sha256(), b""
+    for row in plan.select(id_column).sort(id_column).toLocalIterator():
+        digest.update(between + row[0].encode())
+        between = b"\n"
+    if final_newline:
+        digest.update(b"\n")
+    return digest.hexdigest()
+
+
 def shard_statistics(rows: DataFrame, by: list[str], id_column: str = "work_id") -> DataFrame:
     """Per group: row_count, first and last id, whether ids repeat, and their digest."""
     ids = F.collect_list(id_column)

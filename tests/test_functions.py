@@ -209,3 +209,22 @@ def test_ids_digest(spark):
     ids = F.array(F.lit("b"), F.lit("a"))
     assert one(spark, identity.ids_digest(ids)) == hashlib.sha256(b"a\nb\n").hexdigest()
     assert one(spark, identity.ids_digest(ids, False)) == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_plan_digest_is_the_digest_of_its_ids(spark):
+    ids = [f"{i * 7919 % 1000:064x}" for i in range(300)]
+    plan = spark.createDataFrame([(i,) for i in ids], "work_id string").repartition(5)
+    for newline in (False, True):
+        want = hashlib.sha256(("\n".join(sorted(ids)) + ("\n" if newline else "")).encode()).hexdigest()
+        assert identity.plan_digest(plan, final_newline=newline) == want
+        assert plan.agg(identity.ids_digest(F.collect_list("work_id"), newline)).first()[0] == want
+
+
+def test_canonical_json_of_nested_columns(spark):
+    rows = [({"b": 'q"\\\x1f é', "a": [1.0, 1e-7, 12345678.0], "c": None}, True, 3), ({"b": None, "a": None, "c": 5}, None, -1)]
+    df = spark.createDataFrame(rows, "x struct<b:string,a:array<double>,c:long>, y boolean, z int")
+    whole = df.select(F.struct("z", "y", "x").alias("r"))
+    got = [r[0] for r in whole.select(identity.json_value(F.col("r"), whole.schema["r"].dataType)).collect()]
+    assert got == [json.dumps({"x": x, "y": y, "z": z}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x, y, z in rows]
+    bad = spark.createDataFrame([([1.0, float("nan")],)], "x array<double>")
+    assert bad.select(identity.json_value(F.col("x"), bad.schema["x"].dataType)).first()[0] is None
