@@ -20,15 +20,25 @@ from pyspark.sql import functions as F
 from claimlens.llm.shared import crc32_of, shuffle_partitions, written
 
 ROW_OVERHEAD = 16
+#: Rows of a range partition: more than the session's partitions are made where a table would exceed it.
+PART_ROWS = 4_000_000
+
+
+def range_count(rows: int, least: int, part_rows: int = PART_ROWS) -> int:
+    """`least` partitions, or as many as hold about `part_rows` each."""
+    return max(least, -(-rows // part_rows))
 
 
 def prefix_sums(df: DataFrame, order: list[str], amount: str) -> DataFrame:
     """`df` with `row_index` and `offset` (sum of `amount` before the row) in the global order,
     and `whole` (sum over all rows)."""
     spark = df.sparkSession
-    dealt = df.repartitionByRange(shuffle_partitions(spark), *[F.col(c).asc_nulls_first() for c in order])
+    # ranges are drawn from a sample, a pass of its own; what `df` reads, whole texts included, is read once this way
+    rows = written(df, "rows")
+    parts = range_count(rows.count(), shuffle_partitions(spark))
+    dealt = rows.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
     kept = written(dealt.withColumn("part", F.spark_partition_id()), "prefix")
-    # one row for each partition: as many as the shuffle has, whatever the data
+    # one row for each partition
     totals = kept.groupBy("part").agg(F.sum(amount).alias("part_sum"), F.count("*").alias("part_rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))

@@ -402,6 +402,14 @@ def test_decontamination_of_nothing(spark, documents):
     assert decontam.contaminated_windows(documents([]), one).count() == 0
 
 
+def test_ranges_grow_with_rows(documents, monkeypatch):
+    assert [sharding.range_count(n, 8, 100) for n in (0, 800, 801, 10_000)] == [8, 8, 9, 100]
+    docs = documents([(i % 90, f"text {i % 60} " * (i % 7)) for i in range(300)] + ODD)
+    few = sorted(map(tuple, sharding.shard_by_bytes(docs, 7).collect()), key=repr)
+    monkeypatch.setattr(sharding.range_count, "__defaults__", (10,))
+    assert sorted(map(tuple, sharding.shard_by_bytes(docs, 7).collect()), key=repr) == few
+
+
 def test_buckets_grow_with_rows():
     assert [mixing.bucket_count(n) for n in (0, 8_388_608, 8_388_609, 10**9)] == [128, 128, 256, 16_384]
 
