@@ -67,6 +67,8 @@ def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """`rows` of a suffix table with `rank`, the beginning of their interval in the sorted order of
     `keys`; suffixes alone in their interval leave."""
+    # counted and joined, so made once
+    rows = written(rows, "suffixes")
     intervals = rows.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
     placed = written(prefix_sums(intervals, keys, "members").select(*keys, F.col("offset").alias("rank")), "placed")
     return rows.join(placed, keys)
