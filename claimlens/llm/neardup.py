@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from claimlens.llm.shared import Words, bounded, discard, mix, slices, stored, texts_of, written
+from claimlens.llm.shared import Words, bounded, discard, mix, slices, small_batches, stored, texts_of, written
 
 BANDS = 11
 BAND_ROWS = 3
@@ -172,6 +172,12 @@ def near_duplicates(
     docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    # all that runs in Python is stored inside
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, shingle, percent, bands)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int) -> DataFrame:
     rows = written(sketch(docs, shingle, bands), "sketch")
     real = rows.filter(F.col("n_shingles") > 0).filter(F.col("doc_id").isNotNull())
     same = ["n_shingles", "id_a", "id_b"]

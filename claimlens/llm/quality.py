@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.shared import Words, mix, slices, texts_of
+from claimlens.llm.shared import Words, mix, release, slices, texts_of
 
 TOKENIZERS = "/opt/tokenizers"
 MEMO_WORDS = 60_000
@@ -209,6 +209,10 @@ def _map(columns: list[str], schema: pa.Schema, folder: str, only_kept: bool):
                 arrays = [part.column(c) for c in columns]
                 arrays += [pa.array(got[f.name], f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, *schema.names])
+        # the worker may live on idle beside the next stages
+        del memo
+        _encoders.cache_clear()
+        release()
 
     return run
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,27 @@ SLICE_BYTES = 3 << 20
 #: Bytes up to which a side of a join is broadcast, and what a row takes besides its values.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 40
+#: Rows that meet a Python worker at once, inside `small_batches`.
+BATCH_ROWS = 2000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """A scope whose Arrow batches have `rows` rows at most: both sides hold whole batches besides what they
+    work on. For steps that run inside the scope; the session's own setting returns at its end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(rows if before <= 0 else min(before, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def _held_bytes(field: T.StructField) -> Column:
     """About what a value takes in a hashed relation."""
     if isinstance(field.dataType, T.StringType):
